@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.contamination import contaminated
 from quillspark.llm.grouped_splits import assign_splits, linked_rows, torn_groups
+from quillspark.llm.languages import document_languages, document_segments, fit_models, unnamed_languages
+from quillspark.llm.names import variant_pairs
 from quillspark.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from quillspark.llm.overlap import cross_split_overlaps, overlap_report, split_name
 from quillspark.llm.tokens import encode_corpus
@@ -74,5 +76,24 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return contaminated(load(spark, d, "documents"), load(spark, d, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_classes, p4_found, p4_splits, p6_found, p8_ids, p9_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    return unnamed_languages(docs, "doc_id", "text", "lang", fit_models(docs, "doc_id", "text", "lang"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    return document_segments(docs, "doc_id", "text", fit_models(docs, "doc_id", "text", "lang")).withColumnRenamed("key", "doc_id")
+
+
+def p10_languages(spark: SparkSession, d: str) -> DataFrame:
+    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    return document_languages(docs, "doc_id", "text", fit_models(docs, "doc_id", "text", "lang"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return variant_pairs(load(spark, d, "papers").select("authors"), "authors")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_classes, p4_found, p4_splits, p6_found, p8_ids, p9_found, p10_found, p10_segments, p10_languages)}
 SQL: dict[str, str] = {}
