@@ -18,7 +18,7 @@ PARTICLES = {"von", "van", "der", "den", "de", "la", "del", "della", "da", "di",
 SMALL = {"the", "for", "of", "on", "and", "in", "fur", "de", "la"}
 #: Kinds of organisations, with their short forms.
 KINDS = {
-    "consortium": "consortium", "collaboration": "collaboration", "collab": "collaboration", "laboratory": "laboratory", "lab": "laboratory", "labs": "laboratory",
+    "consortium": "consortium", "consort": "consortium", "wg": "group", "collaboration": "collaboration", "collab": "collaboration", "laboratory": "laboratory", "lab": "laboratory", "labs": "laboratory",
     "group": "group", "team": "team", "institute": "institute", "inst": "institute", "network": "network", "centre": "centre", "center": "centre", "university": "university",
     "univ": "university", "department": "department", "dept": "department", "project": "project", "society": "society", "initiative": "initiative", "association": "association", "committee": "committee",
 }
@@ -90,7 +90,7 @@ def parse(name: str) -> tuple[str, str, str, str, str, bool]:
     words = [t for t in tokens if t[0] != ","]
     if not words:
         return "", "", "", "", "", False
-    kinds = [(i, k) for i, t in enumerate(words) if (k := _kind_of(t[0]))]
+    kinds = [(i, k) for i, t in enumerate(words) if (k := _kind_of(t[0])) and (t[0] != "wg" or 1 < i == len(words) - 1)]
     if kinds and len(words) >= 2:
         at, kind = kinds[-1] if kinds[0][0] else kinds[0]
         rest = [t[0] for i, t in enumerate(words) if i not in {j for j, _ in kinds} and t[0] not in SMALL and t[0] != "working"]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.contamination import contaminated
 from quillspark.llm.grouped_splits import assign_splits, linked_rows, torn_groups
 from quillspark.llm.languages import document_languages, document_segments, fit_models, unnamed_languages
+from quillspark.llm.matching import assign_one_to_one, match_records
 from quillspark.llm.names import variant_pairs
 from quillspark.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from quillspark.llm.overlap import cross_split_overlaps, overlap_report, split_name
@@ -95,5 +96,19 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(load(spark, d, "papers").select("authors"), "authors")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_classes, p4_found, p4_splits, p6_found, p8_ids, p9_found, p10_found, p10_segments, p10_languages)}
+def _matches(spark: SparkSession, d: str) -> DataFrame:
+    papers = load(spark, d, "papers").select("id", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi")
+    records = load(spark, d, "harvest_records").select(F.col("record_id").alias("id"), "title", "authors", "year", "doi")
+    return match_records(papers, records)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _matches(spark, d).select("paper_id", "record_id")
+
+
+def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
+    return assign_one_to_one(_matches(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_classes, p4_found, p4_splits, p5_found, p5_assigned, p6_found, p8_ids, p9_found, p10_found, p10_segments, p10_languages)}
 SQL: dict[str, str] = {}
