@@ -60,7 +60,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref: str = "ref", key
     count = known.count()
     real = refs.where(F.col(ref).isNotNull())
     sure, rest = split_by_bloom(real, ref, parents, key, count)
-    width = 64
+    width = 128  # an id, a time and their place in the hash table
     met = join_bounded(rest, known, ref, "left", count, width) if small_enough(count, width) else skew_join(rest, known, ref, "left")
     late = F.coalesce(F.col("_since") > F.col(until), F.lit(False)) if since and until else F.lit(False)
     met = met.where(F.col("_there").isNull() | late).withColumn("reason", F.when(F.col("_there").isNull(), "missing").otherwise("later")).select(*refs.columns, "reason")
