@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import queries_integrity
+from quillspark.operators import queries_integrity, queries_retrieval
 
-MODULES = [queries_integrity]
+MODULES = [queries_integrity, queries_retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
-    return queries()["p7_report"](spark, d)
+    return queries()["hybrid_batch"](spark, d)
