@@ -44,13 +44,17 @@ HYBRID_WEIGHTS = {"relevance": 0.48, "citation": 0.12, "influence": 0.08, "recen
 RELEVANCE_WEIGHTS = {"bm25": 0.48, "tfidf": 0.22, "dense": 0.30}
 
 
+def _terms(terms: list[str]) -> Column:
+    return F.array(*[F.lit(t) for t in terms])
+
+
 def holds_any(text: Column, terms: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms])
+    return F.exists(_terms(terms), lambda t: F.contains(text, t))
 
 
 def hits(text: Column, terms: list[str]) -> Column:
-    """How many of the terms stand in the text."""
-    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(t)).cast("int") for t in terms])
+    """How many of the terms stand in the text. A higher-order function keeps the generated code small."""
+    return F.size(F.filter(_terms(terms), lambda t: F.contains(text, t)))
 
 
 def keyword_score(text: Column, terms: list[str]) -> Column:
