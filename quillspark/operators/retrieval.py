@@ -78,25 +78,26 @@ def weighted_terms(rows: DataFrame, key: str) -> DataFrame:
     return words.select(key, F.explode(F.concat("t", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_vectors(docs: DataFrame) -> DataFrame:
-    """(doc, term, w): unit vectors with smooth inverse document frequencies."""
+def tfidf_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, term, tf) and (term, idf) with smooth inverse document frequencies."""
     terms = weighted_terms(docs, "doc")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    raw = terms.join(idf, "term").select("doc", "term", "idf", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", "idf", (F.col("x") / F.col("norm")).alias("w"))
+    return terms, idf
 
 
 def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc, score): cosine of weighted-term vectors; query terms that no document has are ignored."""
-    vectors = tfidf_vectors(docs)
+    """(query_id, doc, score): cosine of weighted-term vectors; query terms that no document has are ignored. One join of
+    terms with their frequencies gives the lengths of the vectors; only the query terms go on to the scores."""
+    terms, idf = tfidf_terms(docs)
     q = weighted_terms(queries.select("query_id", F.col("query").alias("text")), "query_id")
-    idf = vectors.select("term", "idf").distinct()
-    raw = q.join(idf, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("x"))
-    norm = raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = raw.join(norm, "query_id").select("query_id", "term", (F.col("x") / F.col("norm")).alias("q"))
-    return vectors.join(unit, "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("w") * F.col("q")), 9).alias("score"))
+    rows = q.count()
+    used = join_bounded(idf, q.select("term").distinct(), "term", "left_semi", rows, 64)
+    raw = q.join(used, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("x"), "idf")
+    unit = raw.join(raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")), "query_id").select("query_id", "term", (F.col("x") / F.col("norm") * F.col("idf")).alias("q"))
+    length = terms.join(idf, "term").groupBy("doc").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length"))
+    dot = join_bounded(terms, unit, "term", "inner", rows, 96).groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("q")).alias("dot"))
+    return dot.join(length, "doc").select("query_id", "doc", F.round(F.col("dot") / F.col("length"), 9).alias("score"))
 
 
 def citation_recency(docs: DataFrame, queries: DataFrame, alpha: float = 0.1, beta: float = 0.2) -> DataFrame:
