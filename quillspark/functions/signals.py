@@ -80,12 +80,11 @@ def technical_density(text: Column) -> Column:
     return F.when(words == 0, 0.0).otherwise(hits(F.lower(text), TECHNICAL_TERMS) / words)
 
 
-def difficulty_score(title: Column, abstract: Column, stored_words: Column, references: Column, citations: Column, year: Column, now: int) -> Column:
+def difficulty_score(beginner: Column, words: Column, density: Column, references: Column, citations: Column, year: Column, now: int) -> Column:
     """From 0 to 1, rounded to 3 places: framing, length, terminology, references, age and citations move it from 0.35."""
-    text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(abstract, F.lit(""))))
-    words, density, cited = word_count(stored_words, abstract), technical_density(text), F.coalesce(citations, F.lit(0))
+    cited = F.coalesce(citations, F.lit(0))
     moves = [
-        F.when(holds_any(text, BEGINNER_TERMS), -0.24),
+        F.when(beginner, -0.24),
         F.when(words >= 350, 0.18).when(words >= 220, 0.10).when(words <= 90, -0.08),
         F.when(density >= 0.025, 0.24).when(density >= 0.012, 0.12),
         F.when(F.coalesce(references, F.lit(0)) >= 80, 0.10),
@@ -137,36 +136,45 @@ def relevance(bm25: Column, tfidf: Column, dense: Column) -> Column:
     return F.when(mixed == 0, F.greatest(bm25, tfidf, dense, F.lit(0.0))).otherwise(mixed)
 
 
-def with_signals(df: DataFrame, level: str, now: int, duplicate: str | None = None) -> DataFrame:
-    """Adds the signal columns of HYBRID_WEIGHTS and SECTION_WEIGHTS to rows with query, title, abstract, venue, categories
-    (array), year, citation_count, references_count, influential_citation_count, abstract_word_count and the scaled scores
-    bm25, tfidf and dense. Each text is built once and each signal is a column of its own, so that later scores reuse it.
-    """
+def document_signals(df: DataFrame, now: int) -> DataFrame:
+    """Adds the signals that depend on the document alone, to rows with title, abstract, venue, categories (array), year,
+    citation_count, references_count, influential_citation_count and abstract_word_count. Every text is built and searched
+    once; later columns reuse the results."""
     empty = F.lit("")
-    brief = F.concat_ws(" ", F.coalesce("title", empty), F.coalesce("abstract", empty))
-    step = df.withColumns({"_text": F.lower(F.concat_ws(" ", brief, F.coalesce("venue", empty), F.coalesce(F.array_join("categories", "; "), empty))), "_generic": generic_factor(F.col("query")), "_domain": asks_domain(F.col("query"))})
+    brief = F.lower(F.concat_ws(" ", F.coalesce("title", empty), F.coalesce("abstract", empty)))
+    step = df.withColumn("_brief", brief).withColumn("_text", F.concat_ws(" ", "_brief", F.lower(F.coalesce("venue", empty)), F.lower(F.coalesce(F.array_join("categories", "; "), empty))))
     step = step.withColumns(
         {
-            "relevance": relevance(F.col("bm25"), F.col("tfidf"), F.col("dense")),
+            "_beginner": holds_any(F.col("_brief"), BEGINNER_TERMS),
+            "_words": word_count(F.col("abstract_word_count"), F.col("abstract")),
+            "_density": technical_density(F.col("_brief")),
             "citation": citation_score(F.col("citation_count")),
             "influence": influence_score(F.col("influential_citation_count")),
             "recency": recency_score(F.col("year"), now),
-            "difficulty": difficulty_score(F.col("title"), F.col("abstract"), F.col("abstract_word_count"), F.col("references_count"), F.col("citation_count"), F.col("year"), now),
             "background": keyword_score(F.col("_text"), BACKGROUND_TERMS),
             "method": keyword_score(F.col("_text"), METHOD_TERMS),
             "narrow": keyword_score(F.col("_text"), NARROW_TERMS),
-            "duplicate": F.col(duplicate) if duplicate else F.lit(0.0),
         }
     )
+    hard = difficulty_score(F.col("_beginner"), F.col("_words"), F.col("_density"), F.col("references_count"), F.col("citation_count"), F.col("year"), now)
+    return step.withColumn("difficulty", hard).drop("_brief", "_text", "_beginner", "_words", "_density")
+
+
+def query_signals(df: DataFrame, level: str, duplicate: str | None = None) -> DataFrame:
+    """Adds relevance, fit, duplicate and the two narrowness columns to rows with document signals, query, and the scaled
+    scores bm25, tfidf and dense."""
+    step = df.withColumns({"_generic": generic_factor(F.col("query")), "_domain": asks_domain(F.col("query"))})
     open_ = (F.col("narrow") > 0) & ~F.col("_domain") & (F.greatest("citation", "influence") < 0.78)
     step = step.withColumns(
         {
+            "relevance": relevance(F.col("bm25"), F.col("tfidf"), F.col("dense")),
             "fit": difficulty_fit(F.col("difficulty"), level),
+            "duplicate": F.col(duplicate) if duplicate else F.lit(0.0),
             "narrow_penalty": F.when(open_, 0.22 * F.col("narrow") * F.col("_generic")).otherwise(0.0),
             "generic_narrow": F.col("narrow") * F.col("_generic"),
         }
     )
-    return step.drop("_text", "_generic", "_domain")
+    return step.drop("_generic", "_domain")
 
 
 def weighted(weights: dict[str, float]) -> Column:

@@ -56,7 +56,7 @@ def identifier_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def paper_signals(spark: SparkSession, d: str) -> DataFrame:
     p = documents(spark, d).withColumns({"query": F.lit("graph neural network"), "bm25": F.lit(0.5), "tfidf": F.lit(0.25), "dense": F.lit(0.0)})
-    s = G.with_signals(p, "basic_ml", NOW)
+    s = G.query_signals(G.document_signals(p, NOW), "basic_ml")
     cols = ["relevance", "citation", "influence", "recency", "difficulty", "fit", "background", "method", "narrow", "narrow_penalty"]
     return _r(s.select("doc", *cols, G.difficulty_label(F.col("difficulty")).alias("label")), *cols)
 

@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.functions.signals import HYBRID_WEIGHTS, weighted, with_signals
+from quillspark.functions.signals import HYBRID_WEIGHTS, document_signals, query_signals, weighted
 from quillspark.functions.text import lexical_tokens, word_tokens
 from quillspark.operators.ranking import max_normal, top_k
-from quillspark.runtime import join_bounded
+from quillspark.runtime import join_bounded, materialize
 
 #: English function words left out of weighted terms.
 STOP_WORDS = (
@@ -170,8 +170,10 @@ def hybrid(docs: DataFrame, queries: DataFrame, k: int, level: str = "basic_ml",
         part = best.select("query_id", "doc", F.lit(name).alias("source"), F.col("normal").alias("x"))
         pool = part if pool is None else pool.unionByName(part)
     wide = pool.groupBy("query_id", "doc").agg(*[F.coalesce(F.max(F.when(F.col("source") == n, F.col("x"))), F.lit(0.0)).alias(n) for n in ("bm25", "tfidf", "dense")])
-    full = wide.join(docs.drop("text"), "doc").join(queries.select("query_id", "query"), "query_id")
-    out = with_signals(full, level, now).withColumn("score", weighted(HYBRID_WEIGHTS)).where("score > 0")
+    wide = materialize(wide, "hybrid-pool")  # the pool is read for its documents and for its scores
+    facts = document_signals(docs.drop("text").join(wide.select("doc").distinct(), "doc", "left_semi"), now)
+    full = wide.join(facts, "doc").join(queries.select("query_id", "query"), "query_id")
+    out = query_signals(full, level).withColumn("score", weighted(HYBRID_WEIGHTS)).where("score > 0")
     return top_k(out, "query_id", k, tie="doc").drop("rank")
 
 
