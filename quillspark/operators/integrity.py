@@ -39,9 +39,9 @@ def split_by_bloom(refs: DataFrame, ref: str, parents: DataFrame, key: str, coun
     if not small_enough(n, WORD_BYTES):
         return None, refs
     h = F.xxhash64(F.col(ref))
-    probed = refs.withColumn("_word", F.pmod(F.xxhash64(h), F.lit(n))).withColumn("_mask", _mask(h))
-    probed = probed.join(F.broadcast(words.toDF("_word", "_bits")), "_word", "left")
-    passes = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
+    probed = refs.withColumn("__word", F.pmod(F.xxhash64(h), F.lit(n))).withColumn("__mask", _mask(h))
+    probed = probed.join(F.broadcast(words.toDF("__word", "__bits")), "__word", "left")
+    passes = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
     return probed.where(~passes).select(*refs.columns), probed.where(passes).select(*refs.columns)
 
 
@@ -49,21 +49,22 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref: str = "ref", key
     """Rows of ``refs`` with a ``ref`` that equals no ``key`` of ``parents``, and ``reason``: missing or later.
 
     With ``since`` (a time column of parents) and ``until`` (one of refs), a reference whose every parent came after it
-    is an orphan too; a null time makes none. Null references are no case. Keys may repeat: the earliest counts. A Bloom
+    is an orphan too; a null time makes none. Null references are no case. Other columns of ``refs`` stay, but for one
+    named reason. Keys may repeat: the earliest counts. A Bloom
     filter of the keys, broadcast under a size check, proves most orphans without a shuffle; only what passes it is
     joined, by broadcast if the counted keys are few and otherwise by a shuffle that splits hot keys.
     """
-    known = parents.where(F.col(key).isNotNull())
+    refs, known = refs.drop("reason"), parents.where(F.col(key).isNotNull())
     # a parent without a time may have come at any time, so it makes no later case
     earliest = F.when(F.count(since) < F.count(F.lit(1)), F.lit(None)).otherwise(F.min(since)) if since else F.lit(None).cast("timestamp")
-    known = known.groupBy(F.col(key).alias(ref)).agg(earliest.alias("_since")).withColumn("_there", F.lit(True))
+    known = known.groupBy(F.col(key).alias(ref)).agg(earliest.alias("__since")).withColumn("__there", F.lit(True))
     count = known.count()
     real = refs.where(F.col(ref).isNotNull())
     sure, rest = split_by_bloom(real, ref, parents, key, count)
     width = 128  # an id, a time and their place in the hash table
     met = join_bounded(rest, known, ref, "left", count, width) if small_enough(count, width) else skew_join(rest, known, ref, "left")
-    late = F.coalesce(F.col("_since") > F.col(until), F.lit(False)) if since and until else F.lit(False)
-    met = met.where(F.col("_there").isNull() | late).withColumn("reason", F.when(F.col("_there").isNull(), "missing").otherwise("later")).select(*refs.columns, "reason")
+    late = F.coalesce(F.col("__since") > F.col(until), F.lit(False)) if since and until else F.lit(False)
+    met = met.where(F.col("__there").isNull() | late).withColumn("reason", F.when(F.col("__there").isNull(), "missing").otherwise("later")).select(*refs.columns, "reason")
     return met if sure is None else sure.withColumn("reason", F.lit("missing")).unionByName(met)
 
 
