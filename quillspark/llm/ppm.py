@@ -100,6 +100,8 @@ class Model:
         cost = np.full((len(sym), len(self.names)), self.base)
         for k in range(most + 1):
             keys, bits = self.pairs[k]
+            if not len(keys):  # nothing was learnt at this length
+                continue
             h = _hash(ctx[k], sym)
             at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             hit = keys[at] == h
