@@ -118,13 +118,13 @@ def model_text(query: Column, title: Column, abstract: Column, words: int = 220)
 
 def split_list(c: Column) -> Column:
     """Parts of a list in one string, separated by semicolons; blanks dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def union_lists(a: Column, b: Column) -> Column:
     """Elements of both lists in order, trimmed, each once without regard to case; the first spelling stays."""
     empty = F.array().cast("array<string>")
-    items = F.filter(F.transform(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)), F.trim), lambda x: x.isNotNull() & (x != ""))
+    items = F.filter(F.transform(F.concat(F.coalesce(a, empty), F.coalesce(b, empty)), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
     return F.aggregate(items, empty, lambda acc, x: F.when(F.exists(acc, lambda y: F.lower(y) == F.lower(x)), acc).otherwise(F.array_append(acc, x)))
 
 

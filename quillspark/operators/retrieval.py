@@ -131,7 +131,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int
     for start in range(0, max(1, table.num_rows), block):
         part = table.slice(start, block)
         ids = part.column("query_id").to_numpy()
-        q = np.array(part.column("embedding").to_pylist(), np.float64).reshape(len(ids), -1)
+        q = np.array(part.column("embedding").to_pylist(), np.float64)
         shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(ids) else q))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

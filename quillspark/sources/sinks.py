@@ -14,7 +14,7 @@ def write_json_lines(df: DataFrame, path: str) -> None:
 
 def write_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """The given columns, in this order, with a header; missing columns are written as null."""
-    df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def append_missing(cache_path: str, wanted: DataFrame, keys: list[str], compute) -> DataFrame:
