@@ -121,13 +121,17 @@ def _pairs_of_sorted(slack: float):
             last = len(cuts) - 1 if whole else len(cuts) - 2
             lengths = np.diff(cuts)[:last]
             left, right = [], []
-            two = cuts[:last][lengths == 2]
-            if len(two):  # most cells: compared all at once
-                a, b = rows[two], rows[two + 1]
+            fresh = cuts[:last]
+            for size in range(2, FANOUT + 1):  # small cells of one size are compared all at once
+                i, j = np.triu_indices(size, 1)
+                heads = fresh[lengths == size]
+                if not len(heads):
+                    continue
+                a, b = rows[(heads[:, None] + i).ravel()], rows[(heads[:, None] + j).ravel()]
                 off = np.bitwise_count(a[:, 5:].view(np.uint64) ^ b[:, 5:].view(np.uint64)).sum(axis=1)
                 ok = (off <= slack * (a[:, 4] + b[:, 4]) + 1e-9) & ((a[:, 1] == 0) | (a[:, 2] != b[:, 2]))
                 left.append(a[ok, 3]), right.append(b[ok, 3])
-            for k in np.flatnonzero(lengths > 2):
+            for k in np.flatnonzero(lengths > FANOUT):
                 g = rows[cuts[k] : cuts[k + 1]]
                 ids, fp, n = g[:, 3], np.ascontiguousarray(g[:, 5:]).view(np.uint64), g[:, 4]
                 if g[0, 1] == 0:
