@@ -109,6 +109,28 @@ def test_matching(spark, monkeypatch):
     assert {(x["paper_id"], x["record_id"]) for x in match_records(p, r).collect()} == set(got)
 
 
+@pytest.mark.parametrize("stored,harvested", [(1, 30), (50, 5), (30, 30)])
+def test_matching_of_many_copies(spark, stored, harvested):
+    schema = "id bigint, title string, authors string, year int, doi string"
+    p = spark.createDataFrame([(i, *PAPERS[0][1:]) for i in range(stored)], schema)
+    r = spark.createDataFrame([(i, *PAPERS[0][1:]) for i in range(100, 100 + harvested)], schema)
+    rows = match_records(p, r).collect()
+    assert len(rows) == stored * harvested and {(x["paper_id"], x["record_id"]) for x in rows} == {(i, j) for i in range(stored) for j in range(100, 100 + harvested)}
+
+
+@pytest.mark.parametrize("run_rows", [20_000, 7])
+def test_matching_of_many_unequal_rows_with_one_key(spark, monkeypatch, run_rows):
+    monkeypatch.setattr("quillspark.llm.matching.RUN_ROWS", run_rows)
+    monkeypatch.setattr("quillspark.llm.matching.BLOCK_ROWS", 4)  # several blocks of one key
+    schema = "id bigint, title string, authors string, year int, doi string"
+    p = spark.createDataFrame([(i, *PAPERS[0][1:4], f"10.5/p{i}") for i in range(40)], schema)
+    r = spark.createDataFrame([(i, *PAPERS[0][1:4], f"10.5/r{i}") for i in range(100, 130)], schema)
+    assert match_records(p, r).count() == 40 * 30
+    # a fault in the last word leaves the key of people and first words equal
+    near = spark.createDataFrame([(200, "Dense Retrieval with Gamuranc", "Ulrich Mengoridge; Xenia Koppaworth", 2020, None)], schema)
+    assert match_records(p, near).count() == 40
+
+
 def test_assignment_is_optimal():
     rng = random.Random(6)
     for _ in range(40):
