@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import identity_keys, normal_title, plain_tokens
+from quillspark.functions.text import identity_keys, normal_title
+from quillspark.operators.near_titles import near_title_links
 from quillspark.runtime import materialize
 
 # --- identity ----------------------------------------------------------------------------------------------------------
@@ -99,20 +98,13 @@ def fold_duplicates(records: DataFrame, row: str) -> DataFrame:
 
 def near_titles(df: DataFrame, row: str, title: str, least: float = 0.92) -> DataFrame:
     """(row_a, row_b, similarity) of different normalised titles of 20 letters or more whose word overlap or matching-block
-    ratio reaches ``least``. Titles are compared when they share their first or their last three words."""
-    t = df.select(F.col(row).alias("row"), normal_title(F.col(title)).alias("t")).where("length(t) >= 20").groupBy("t").agg(F.min("row").alias("row"))
-    w = F.split("t", " ")
-    ends = t.select("row", "t", F.explode(F.array_distinct(F.array(F.concat(F.lit("<"), F.array_join(F.slice(w, 1, 3), " ")), F.concat(F.lit(">"), F.array_join(F.slice(w, -3, 3), " "))))).alias("end")).where(F.size(F.split("t", " ")) >= 3)
-    a, b = ends.toDF("row_a", "a", "end"), ends.toDF("row_b", "b", "end")
-    pairs = a.join(b, "end").where((F.col("row_a") < F.col("row_b")) & (F.abs(F.length("a") - F.length("b")) <= 0.2 * F.length("a") + 2)).select("row_a", "row_b", "a", "b").distinct()
-    words = lambda c: F.array_distinct(plain_tokens(F.col(c)))
-    jaccard = F.size(F.array_intersect(words("a"), words("b"))) / F.size(F.array_union(words("a"), words("b")))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-    return pairs.withColumn("similarity", F.greatest(jaccard, ratio("a", "b"))).where(F.col("similarity") >= least).select("row_a", "row_b", "similarity")
+    ratio reaches ``least``, each title by its smallest row. No pair is left out."""
+    t = materialize(df.select(F.col(row).alias("row"), normal_title(F.col(title)).alias("t")).where("t is not null").groupBy("t").agg(F.min("row").alias("row")), "title-rows")
+    at = lambda c: t.select(F.col("t").alias(c), F.col("row").alias(f"row_of_{c}"))
+    met = near_title_links(t, least).join(at("a"), "a").join(at("b"), "b")
+    first = F.col("row_of_a") < F.col("row_of_b")
+    out = met.select(F.least("row_of_a", "row_of_b").alias("row_a"), F.greatest("row_of_a", "row_of_b").alias("row_b"), F.when(first, F.col("ab")).otherwise(F.col("ba")).alias("similarity"))
+    return out.where(F.col("similarity") >= least)
 
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -1,5 +1,7 @@
 import datetime as dt
+import difflib
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -128,6 +130,33 @@ def test_folding_depends_on_order(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
 
 
+NEAR = ["decoding masked reader with quamacast", "p decoding masked reader with quamacast p", "online buffer and regularised verifier in wildoife acoustics", "online bu er and regularised veri er in wildlife acoustics"]
+
+
+def test_near_titles_equal_brute_force(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randrange(2, 10))) for _ in range(40)]
+    base = [" ".join(rng.choice(words) for _ in range(rng.randrange(3, 16))) for _ in range(40)]
+    titles = set(NEAR) | set(base)
+    for s in base * 4:
+        for _ in range(rng.randrange(1, 6)):
+            i = rng.randrange(len(s))
+            s = rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice("abc ") + s[i:], s[:i] + "z" + s[i + 1 :]])
+        titles |= {" ".join(s.split()), " ".join(rng.sample(s.split(), len(s.split())))}
+    titles = sorted(titles)
+
+    def similar(a, b):
+        p, q = set(a.split()), set(b.split())
+        return max(difflib.SequenceMatcher(None, a, b).ratio(), len(p & q) / len(p | q))
+
+    long = [(i, t) for i, t in enumerate(titles) if len(t) >= 20]
+    want = {(i, j) for i, a in long for j, b in long if i < j and similar(a, b) >= 0.92}
+    rows = C.near_titles(spark.createDataFrame(list(enumerate(titles)), "id bigint, title string"), "id", "title").collect()
+    at = {t: i for i, t in enumerate(titles)}
+    assert {(r["row_a"], r["row_b"]) for r in rows} == want and len(rows) == len(want)
+    assert {tuple(sorted((at[NEAR[0]], at[NEAR[1]]))), tuple(sorted((at[NEAR[2]], at[NEAR[3]])))} <= want
+
+
 def test_references_and_edges(spark):
     d = spark.createDataFrame([("A", ["b", " B", "a", "z", "", None]), ("b", None)], "k string, r array<string>")
     got = {(r["reference"], r["kind"]) for r in C.resolve_references(d, F.col("k"), F.col("r"), normal_identifier).collect()}
