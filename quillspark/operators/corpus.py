@@ -68,26 +68,35 @@ def merge_records(df: DataFrame, key: str, order: str) -> DataFrame:
     )
 
 
-def fold_duplicates(records: DataFrame, row: str) -> DataFrame:
+def fold_duplicates(records: DataFrame, row: str, least: float = 0.92) -> DataFrame:
     """(row, kept): the earlier record that each is merged into, itself if it is new. Order counts: rows are taken by id,
-    each joins the record that owns its first known key (external id, DOI, title), and the keys of a merged record are then
-    owned by the record that it joined. Records with no key in common cannot meet, so the fold runs per block of rows that
-    keys connect; a block holds the copies of one work."""
-    keyed = materialize(records.select(F.col(row).alias("row"), F.posexplode(identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))).alias("strength", "key")), "record-keys")
+    each joins the record that owns its first known key (external id, DOI, title), else the earliest kept record whose title
+    is near its own, and the keys of a merged record are then owned by the record that it joined. A kept record keeps its
+    own title. Records with no key in common and no near title cannot meet, so the fold runs per block of rows that keys and
+    near titles connect; a block holds the copies of one work."""
+    keyed = materialize(records.select(F.col(row).alias("row"), normal_title(F.col("title")).alias("t"), F.posexplode(identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))).alias("strength", "key")), "record-keys")
+    links = near_title_links(keyed.where("t is not null").select("t"), least)
+    tie = F.concat(F.lit("near:"), "a", F.lit("|"), "b")  # a key of both titles, which connects but is not owned
+    met = links.select(F.inline(F.array(*[F.struct(F.col(x).alias("t"), F.col(y).alias("other"), (F.col(s) >= least).alias("ok"), tie.alias("key")) for x, y, s in (("a", "b", "ab"), ("b", "a", "ba"))])))
+    near = keyed.select("row", "t").distinct().join(met, "t").select("row", "t", F.lit(9).alias("strength"), "key", "other", "ok")
+    keyed = materialize(keyed.select("row", "t", "strength", "key", F.lit(None).cast("string").alias("other"), F.lit(False).alias("ok")).unionByName(near), "record-links")
     block = keyed.groupBy("row").agg(F.min("row").alias("block"))
-    for _ in range(30):
+    settled = False
+    while not settled:  # blocks only ever fall, so this ends
         low = keyed.join(block, "row").groupBy("key").agg(F.min("block").alias("low"))
         after = materialize(keyed.join(low, "key").groupBy("row").agg(F.min("low").alias("block")), "record-blocks")
-        moved = after.join(block.withColumnRenamed("block", "was"), "row").where("block <> was").isEmpty()
+        settled = after.join(block.withColumnRenamed("block", "was"), "row").where("block <> was").isEmpty()
         block = after
-        if moved:
-            break
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
-        owner, out = {}, []
+        owner, titled, out = {}, {}, []
         for r, part in group.sort_values(["row", "strength"]).groupby("row", sort=True):
-            keys = list(part["key"])
-            kept = next((owner[k] for k in keys if k in owner), r)
+            keys = list(part["key"][part["other"].isna()])
+            kept = next((owner[k] for k in keys if k in owner), None)
+            if kept is None:
+                kept = min((titled[o] for o in part["other"][part["ok"]] if o in titled), default=r)
+            if kept == r:
+                titled[part["t"].iloc[0]] = r
             owner.update(dict.fromkeys(keys, kept))
             out.append((r, kept))
         return pd.DataFrame(out, columns=["row", "kept"])

@@ -8,11 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.signals import SECTION_LEAST, SECTION_WEIGHTS, SECTIONS, weighted
-from quillspark.functions.text import identity_keys, normal_tags, plain_tokens
+from quillspark.functions.text import identity_keys, normal_tags, normal_title, plain_tokens
+from quillspark.operators.near_titles import near_title_links
 from quillspark.runtime import materialize
 
 #: The profile list that each action adds to.
 ACTION_LISTS = {"save": "saved", "more_like_this": "saved", "already_read": "skipped", "not_relevant": "skipped", "less_like_this": "skipped", "too_easy": "too_easy", "too_hard": "too_hard"}
+#: Title similarity from which two candidates count as near duplicates.
+NEAR_TITLE = 0.92
 LISTS = ["saved", "skipped", "too_easy", "too_hard"]
 
 
@@ -67,16 +70,29 @@ def personal_scores(docs: DataFrame, profile: DataFrame, level: str = "basic_ml"
 
 
 def duplicate_penalties(candidates: DataFrame) -> DataFrame:
-    """(query_id, doc, duplicate): 0.75 for a candidate that shares an id, DOI or title with a better one of its query.
+    """(query_id, doc, duplicate): 0.75 for a candidate that shares an id, DOI or title with a better one of its query, else
+    0.35 for one whose title is near that of a better one.
 
     The better one has the higher score plus bounded bonuses for citations and age. Candidates have external_id, doi,
-    title, score, year and citation_count. One window per shared key instead of pairs: all but the best of a key are hit.
+    title, score, year and citation_count. One window per shared key instead of pairs: all but the best of a key are hit. Near
+    titles meet the best of each title; where the ratio depends on which candidate comes first, they meet all.
     """
     cites = F.least(F.log1p(F.coalesce("citation_count", F.lit(0))) / 8.0, F.lit(1.5))
     older = F.greatest(F.lit(0.0), (2030 - F.coalesce("year", F.lit(9999))) / 100.0)
-    c = candidates.select("query_id", "doc", (F.col("score") + cites + older).alias("q"), F.explode(identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))).alias("key"))
+    every = materialize(candidates.select("query_id", "doc", (F.col("score") + cites + older).alias("q"), normal_title(F.col("title")).alias("t"), "external_id", "doi", "title"), "duplicate-candidates")
+    c = every.select("query_id", "doc", "q", F.explode(identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))).alias("key"))
     r = c.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "key").orderBy(F.desc("q"), "doc")))
-    return r.groupBy("query_id", "doc").agg(F.max(F.when(F.col("r") > 1, 0.75).otherwise(0.0)).alias("duplicate"))
+    shared = r.groupBy("query_id", "doc").agg(F.max(F.when(F.col("r") > 1, 0.75).otherwise(0.0)).alias("duplicate"))
+    links = near_title_links(every.where("t is not null").select("t"), NEAR_TITLE)
+    ways = links.select(F.inline(F.array(*[F.struct(F.col(x).alias("t"), F.col(y).alias("ot"), (F.col(s) >= NEAR_TITLE).alias("first"), (F.col(z) >= NEAR_TITLE).alias("second")) for x, y, s, z in (("a", "b", "ab", "ba"), ("b", "a", "ba", "ab"))])))
+    mine = every.select("query_id", "doc", "q", "t").join(ways, "t")
+    others = every.select("query_id", F.col("doc").alias("od"), F.col("q").alias("oq"), F.col("t").alias("ot"))
+    best = others.groupBy("query_id", "ot").agg(F.max(F.struct("oq", (-F.col("od")).alias("m"))).alias("b")).select("query_id", "ot", F.col("b.oq").alias("oq"), (-F.col("b.m")).alias("od"))
+    worse = (F.col("oq") > F.col("q")) | ((F.col("oq") == F.col("q")) & (F.col("od") < F.col("doc")))
+    both = mine.where("first and second").join(best, ["query_id", "ot"]).where(worse)
+    one = mine.where("not (first and second)").join(others, ["query_id", "ot"]).where(worse & F.when(F.col("doc") < F.col("od"), F.col("first")).otherwise(F.col("second")))
+    near = both.select("query_id", "doc").unionByName(one.select("query_id", "doc")).distinct().withColumn("near", F.lit(0.35))
+    return shared.join(near, ["query_id", "doc"], "left").select("query_id", "doc", F.greatest("duplicate", F.coalesce("near", F.lit(0.0))).alias("duplicate"))
 
 
 def section_scores(candidates: DataFrame, personal: Column | None = None) -> DataFrame:

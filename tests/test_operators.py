@@ -157,6 +157,15 @@ def test_near_titles_equal_brute_force(spark):
     assert {tuple(sorted((at[NEAR[0]], at[NEAR[1]]))), tuple(sorted((at[NEAR[2]], at[NEAR[3]])))} <= want
 
 
+def test_near_titles_are_folded_and_penalised(spark):
+    rows = [(1, "a", None, NEAR[0]), (2, "b", None, NEAR[1]), (3, "b", None, "something else entirely"), (4, None, None, NEAR[2]), (5, None, None, NEAR[3])]
+    rows += [(100 + i, f"k{i}", f"10.5/{i + 1}", None) for i in range(3)]
+    d = spark.createDataFrame(rows, "id bigint, external_id string, doi string, title string")
+    assert {r["id"]: r["kept"] for r in C.fold_duplicates(d, "id").collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 100: 100, 101: 101, 102: 102}
+    c = d.selectExpr("'q' AS query_id", "id AS doc", "external_id", "doi", "title", "CASE WHEN id = 5 THEN 1.0D ELSE 0.0D END AS score", "2020 AS year", "0 AS citation_count")
+    assert {r["doc"]: r["duplicate"] for r in P.duplicate_penalties(c).collect() if r["duplicate"]} == {2: 0.35, 3: 0.75, 4: 0.35}
+
+
 def test_references_and_edges(spark):
     d = spark.createDataFrame([("A", ["b", " B", "a", "z", "", None]), ("b", None)], "k string, r array<string>")
     got = {(r["reference"], r["kind"]) for r in C.resolve_references(d, F.col("k"), F.col("r"), normal_identifier).collect()}
