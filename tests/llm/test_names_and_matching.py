@@ -149,6 +149,13 @@ def test_assignment_is_optimal():
         assert got["confidence"].sum() == pytest.approx(best(pairs, frozenset()))
 
 
+def test_large_components_are_assigned_to_the_end(spark, monkeypatch):
+    monkeypatch.setattr("quillspark.llm.matching.EXACT_PAIRS", 10)
+    pairs = spark.createDataFrame([(i, 1000 + j, 0.9) for i in range(40) for j in range(40)], "paper_id bigint, record_id bigint, confidence double")
+    rows = assign_one_to_one(pairs).collect()
+    assert len(rows) == len({r["paper_id"] for r in rows}) == len({r["record_id"] for r in rows}) == 40
+
+
 def test_confidence_uses_years():
     s = Scorer(np.ones(1 << 17, np.int64), 10)
     a = (["dense", "retrieval", "gamurank"], frozenset({"mengoridge"}), 2020, None)
