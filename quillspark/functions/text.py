@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def lexical_tokens(c: Column) -> Column:
     """Runs of ASCII letters, digits and underscore, lower case, in order; null gives no tokens."""
-    return F.transform(F.coalesce(F.regexp_extract_all(c, F.lit(r"[A-Za-z0-9_]+"), 0), F.array().cast("array<string>")), F.lower)
+    small = F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")  # other letters must stay as they are
+    return F.coalesce(F.regexp_extract_all(small, F.lit("[a-z0-9_]+"), 0), F.array().cast("array<string>"))
 
 
 def plain_tokens(c: Column, least: int = 1) -> Column:

@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import skew_join
-from quillspark.runtime import join_bounded, small_enough
+from quillspark.runtime import join_bounded, materialize, small_enough
 
 #: Bits set per key, all in one 64-bit word, and keys per word: about 2 % of absent keys pass.
 BLOOM_BITS = 4
 KEYS_PER_WORD = 4
-#: Bytes of a broadcast filter row: word number, bits and their place in the hash table.
-WORD_BYTES = 40
+#: Words that stand packed in one row of the filter, as a power of two.
+SHARD_BITS = 10
 
 
 def _mask(h: Column) -> Column:
@@ -24,24 +24,28 @@ def _mask(h: Column) -> Column:
     return out
 
 
-def bloom_words(parents: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
-    """The words of a blocked Bloom filter over the keys, as rows (word, bits), and the number of words it may have."""
-    words = max(1, -(-count // KEYS_PER_WORD))
+def bloom_shards(parents: DataFrame, key: str, count: int) -> tuple[DataFrame, int]:
+    """A blocked Bloom filter over the keys as rows (shard, words), each with 2**SHARD_BITS words packed in an array, and
+    the number of its words. It takes two bytes a key."""
+    n = -(-max(1, -(-count // KEYS_PER_WORD)) // (1 << SHARD_BITS)) << SHARD_BITS
     h = F.xxhash64(F.col(key))
-    rows = parents.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(h), F.lit(words)).alias("word"), _mask(h).alias("bits"))
-    return rows.groupBy("word").agg(F.bit_or("bits").alias("bits")), words
+    rows = parents.where(F.col(key).isNotNull()).select(F.pmod(F.xxhash64(h), F.lit(n)).alias("word"), _mask(h).alias("bits"))
+    words = rows.unionByName(parents.sparkSession.range(n).select(F.col("id").alias("word"), F.lit(0).cast("bigint").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    packed = words.groupBy(F.shiftright("word", SHARD_BITS).alias("shard")).agg(F.sort_array(F.collect_list(F.struct("word", "bits")))["bits"].alias("words"))
+    return packed, n
 
 
-def split_by_bloom(refs: DataFrame, ref: str, parents: DataFrame, key: str, count: int) -> tuple[DataFrame | None, DataFrame]:
-    """(definite orphans, references that may have a parent). Where the filter would pass the broadcast bound, the first
-    is None and all references are left to the exact join."""
-    words, n = bloom_words(parents, key, count)
-    if not small_enough(n, WORD_BYTES):
-        return None, refs
+def split_by_bloom(refs: DataFrame, ref: str, parents: DataFrame, key: str, count: int) -> tuple[DataFrame, DataFrame]:
+    """(definite orphans, references that may have a parent). The filter is broadcast while its packed size is under the
+    bound, for about 30 million keys; a larger one is joined shard by shard, hot shards apart."""
+    shards, n = bloom_shards(parents, key, count)
     h = F.xxhash64(F.col(ref))
-    probed = refs.withColumn("__word", F.pmod(F.xxhash64(h), F.lit(n))).withColumn("__mask", _mask(h))
-    probed = probed.join(F.broadcast(words.toDF("__word", "__bits")), "__word", "left")
-    passes = F.coalesce(F.col("__bits").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
+    word = F.pmod(F.xxhash64(h), F.lit(n))
+    probed = refs.withColumns({"__shard": F.shiftright(word, SHARD_BITS), "__slot": word.bitwiseAND(F.lit((1 << SHARD_BITS) - 1)).cast("int"), "__mask": _mask(h)})
+    shards = materialize(shards.toDF("__shard", "__words"), "bloom-filter")
+    probed = probed.join(F.broadcast(shards), "__shard", "left") if small_enough(n, 9) else skew_join(probed, shards, "__shard", "left")
+    bits = F.get("__words", F.col("__slot"))
+    passes = F.coalesce(bits.bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))
     return probed.where(~passes).select(*refs.columns), probed.where(passes).select(*refs.columns)
 
 
@@ -51,8 +55,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref: str = "ref", key
     With ``since`` (a time column of parents) and ``until`` (one of refs), a reference whose every parent came after it
     is an orphan too; a null time makes none. Null references are no case. Other columns of ``refs`` stay, but for one
     named reason. Keys may repeat: the earliest counts. A Bloom
-    filter of the keys, broadcast under a size check, proves most orphans without a shuffle; only what passes it is
-    joined, by broadcast if the counted keys are few and otherwise by a shuffle that splits hot keys.
+    filter of the keys proves most orphans, without a shuffle while it can be broadcast under its size check; only what
+    passes it is joined, by broadcast if the counted keys are few and otherwise by a shuffle that splits hot keys.
     """
     refs, known = refs.drop("reason"), parents.where(F.col(key).isNotNull())
     # a parent without a time may have come at any time, so it makes no later case
@@ -65,7 +69,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ref: str = "ref", key
     met = join_bounded(rest, known, ref, "left", count, width) if small_enough(count, width) else skew_join(rest, known, ref, "left")
     late = F.coalesce(F.col("__since") > F.col(until), F.lit(False)) if since and until else F.lit(False)
     met = met.where(F.col("__there").isNull() | late).withColumn("reason", F.when(F.col("__there").isNull(), "missing").otherwise("later")).select(*refs.columns, "reason")
-    return met if sure is None else sure.withColumn("reason", F.lit("missing")).unionByName(met)
+    return sure.withColumn("reason", F.lit("missing")).unionByName(met)
 
 
 def normal_identifier(c: Column) -> Column:

@@ -68,9 +68,10 @@ def fit_errors(df: DataFrame, prediction: str, label: str, group: str) -> DataFr
     return df.where(F.col(prediction).isNotNull() & F.col(label).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"))
 
 
-def sample_weights(df: DataFrame, group: str) -> Column:
-    """Weights that give every group the same sum: rows over groups and rows of the own group."""
-    from pyspark.sql import Window
-
-    n, own = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1))), F.count(F.lit(1)).over(Window.partitionBy(group))
-    return n / own
+def sample_weights(df: DataFrame, group: str) -> DataFrame:
+    """Adds weight, which gives every group the same sum: rows over groups and rows of the own group. Group counts are
+    aggregated and joined back, so no group is gathered."""
+    own = df.groupBy(group).agg(F.count(F.lit(1)).alias("_own"))
+    total = own.agg(F.sum("_own").alias("_n"))
+    sized = own.crossJoin(F.broadcast(total)).select(F.col(group).alias("_g"), (F.col("_n") / F.col("_own")).alias("weight"))
+    return df.join(sized, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")

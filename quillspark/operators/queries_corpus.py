@@ -13,7 +13,6 @@ from quillspark.operators import retrieval as R
 from quillspark.operators.integrity import normal_identifier
 from quillspark.operators.queries_integrity import _NORMAL
 from quillspark.operators.queries_retrieval import BASE, HYBRID, NOW, QSIGNALS, SIGNALS, TFIDF, documents, query_table, sql_hits, sql_top
-from quillspark.operators.ranking import top_k
 from quillspark.runtime import load
 
 _LEVELS = ["save", "not_relevant", "too_easy", "too_hard", "more_like_this"]
@@ -285,7 +284,7 @@ def duplicate_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_top_sources(spark: SparkSession, d: str) -> DataFrame:
     """Where the best lexical results come from."""
-    best = top_k(R.bm25(documents(spark, d).select("doc", "text"), query_table(spark, d)), "query_id", 10)
+    best = R.bm25_top(documents(spark, d).select("doc", "text"), query_table(spark, d), 10)
     return best.join(_papers(spark, d).select(F.col("id").alias("doc"), F.coalesce("source", F.lit("unknown")).alias("source")), "doc").groupBy("source").agg(F.count(F.lit(1)).alias("results"), F.countDistinct("query_id").alias("queries"))
 
 

@@ -16,8 +16,7 @@ from quillspark.functions.signals import (
     TECHNICAL_TERMS,
 )
 from quillspark.operators import retrieval as R
-from quillspark.operators.ranking import top_k
-from quillspark.runtime import load
+from quillspark.runtime import load, spread
 
 NOW = 2026
 TOP = 10
@@ -25,7 +24,7 @@ TOP = 10
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """Papers as retrieval documents: doc, text and the metadata of the signals."""
-    p = load(spark, d, "papers")
+    p = spread(load(spark, d, "papers"))
     text = F.concat(F.coalesce("title", F.lit("")), F.lit("\n\n"), F.coalesce("abstract", F.lit("")))
     keep = ["title", "abstract", "venue", "categories", "year", "citation_count", "references_count", "influential_citation_count", "abstract_word_count"]
     return p.select(F.col("id").alias("doc"), text.alias("text"), *keep)
@@ -44,7 +43,7 @@ def _out(df: DataFrame) -> DataFrame:
 
 
 def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _out(top_k(_lexical(spark, d), "query_id", TOP))
+    return _out(R.bm25_top(documents(spark, d).select("doc", "text"), query_table(spark, d), TOP))
 
 
 def bm25_all(spark: SparkSession, d: str) -> DataFrame:
@@ -62,11 +61,11 @@ def corpus_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _out(top_k(R.tfidf(documents(spark, d).select("doc", "text"), query_table(spark, d)), "query_id", TOP))
+    return _out(R.tfidf_top(documents(spark, d).select("doc", "text"), query_table(spark, d), TOP))
 
 
 def citation_recency_batch(spark: SparkSession, d: str) -> DataFrame:
-    return _out(top_k(R.citation_recency(documents(spark, d).select("doc", "text", "year", "citation_count"), query_table(spark, d)), "query_id", TOP))
+    return _out(R.citation_recency_top(documents(spark, d).select("doc", "text", "year", "citation_count"), query_table(spark, d), TOP))
 
 
 def more_like_this(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +103,7 @@ def hybrid_batch(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_ranks(spark: SparkSession, d: str) -> DataFrame:
     docs, q = documents(spark, d), query_table(spark, d)
-    runs = {"bm25": R.bm25(docs.select("doc", "text"), q), "tfidf": R.tfidf(docs.select("doc", "text"), q), "cited": R.citation_recency(docs.select("doc", "text", "year", "citation_count"), q)}
+    runs = {"bm25": R.bm25_top(docs.select("doc", "text"), q, 20), "tfidf": R.tfidf_top(docs.select("doc", "text"), q, 20), "cited": R.citation_recency_top(docs.select("doc", "text", "year", "citation_count"), q, 20)}
     return R.best_ranks(runs, 20).select("query_id", "doc", "methods", "best_rank", F.round("mean_rank", 6).alias("mean_rank"))
 
 

@@ -1,7 +1,9 @@
 """Lexical, dense and combined retrieval over a document table, for one query or a table of queries.
 
-Documents are rows (doc, text, ...); queries are rows (query_id, query). A postings table (term, doc, tf, length) is the
-index: only the postings of query terms are read, and scores are sums over one shuffle by (query, document).
+Documents are rows (doc, text, ...) with a unique doc; queries are rows (query_id, query). Lexical scores are products of
+two sparse tables, weights of terms in documents and in queries. Where only the best k are wanted, :func:`best_products`
+multiplies blocks of documents with the broadcast queries and lets no more than the k best of each block leave the task;
+where every score is wanted, or the queries pass the broadcast bound, the same product is a join and a sum.
 """
 
 from __future__ import annotations
@@ -16,9 +18,10 @@ from pyspark.sql import functions as F
 from quillspark.functions.signals import HYBRID_WEIGHTS, document_signals, query_signals, weighted
 from quillspark.functions.text import lexical_tokens, word_tokens
 from quillspark.operators.ranking import max_normal, top_k
-from quillspark.runtime import join_bounded, materialize
+from quillspark.operators.joins import skew_join
+from quillspark.runtime import join_bounded, materialize, small_enough
 
-#: English function words left out of weighted terms.
+#: English function words left out of weighted terms unless the caller gives a list of their own.
 STOP_WORDS = (
     "a about above after again against all also am an and any are as at be because been before being below between both but by can could did do does doing down during each few for from "
     "further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours "
@@ -26,6 +29,8 @@ STOP_WORDS = (
     "where which while who whom why will with would you your yours yourself yourselves"
 ).split()
 K1, B = 1.5, 0.75
+#: Documents and queries of one block of the product.
+BLOCK_DOCS, QUERY_ROWS = 2048, 1024
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -51,64 +56,175 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, most_query_rows: int | None = None) -> DataFrame:
-    """(query_id, doc, score) of every document that shares a term with the query; scores are positive and rounded to 9
-    places, so that equal documents tie whatever the order of the sums.
+def best_products(parts: DataFrame, weights: DataFrame, k: int, bonus: str | None = None) -> DataFrame:
+    """(query_id, doc, score): the k documents with the largest sum of x times w, for every query; ties to the smaller doc.
 
-    ``most_query_rows`` bounds the (query, term) rows if known; they are broadcast only under a size check.
+    ``parts`` is (doc, term, x), ``weights`` (query_id, term, w), both positive and unique by their first two columns; only
+    documents that share a term count. ``bonus`` names a column of ``parts``, one value per document, that is added to its
+    scores. Sums are rounded to 9 places. The weights are broadcast under a size check, as is the work of a task bounded by
+    blocks of documents and queries; beyond the bound the product is a join with a sum.
     """
-    posts, terms = postings(docs), query_terms(queries)
-    wanted = terms.select("term").distinct()
-    rows = most_query_rows if most_query_rows is not None else terms.count()
-    hit = join_bounded(posts, wanted, "term", "left_semi", rows, 64)
-    stats = corpus_statistics(docs)
+    rows = weights.count()
+    extra = F.col(bonus) if bonus else F.lit(0.0)
+    if not small_enough(rows, 48):
+        plain = parts.select("doc", "term", "x", extra.alias("_bonus")).join(weights, "term")
+        full = plain.groupBy("query_id", "doc").agg((F.round(F.sum(F.col("x") * F.col("w")), 9) + F.first("_bonus")).alias("score"))
+        return top_k(full, "query_id", k).drop("rank")
+    table = weights.toArrow().to_pandas()
+    terms, term_of = np.unique(table["term"].to_numpy(), return_inverse=True)
+    names, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    session = parts.sparkSession
+    shared = session.sparkContext.broadcast((term_of.astype(np.int32), query_of.astype(np.int32), table["w"].to_numpy(np.float64)))
+    kind = dict(parts.dtypes)["term"]
+    numbers = session.createDataFrame([(t.item() if hasattr(t, "item") else t, i) for i, t in enumerate(terms)], f"term {kind}, t int")
+    own = parts.join(F.broadcast(numbers), "term").select("doc", "t", "x", extra.cast("double").alias("bonus"))
+    n_terms, n_queries = len(terms), len(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, query, w = shared.value
+        cuts = np.searchsorted(np.sort(query), np.arange(0, n_queries + QUERY_ROWS, QUERY_ROWS))
+        order = np.argsort(query, kind="stable")
+        bar = np.full(n_queries, -np.inf)  # a score below it is not among the k best of this task
+        for docs, t, x, more in _document_blocks(batches):
+            ids, row, first = _numbered(docs)
+            left = np.zeros((len(ids), n_terms))
+            left[row, t] = x
+            plus = more[first]
+            for c in range(len(cuts) - 1):
+                at = order[cuts[c] : cuts[c + 1]]
+                if not len(at):
+                    continue
+                lo, width = c * QUERY_ROWS, min(QUERY_ROWS, n_queries - c * QUERY_ROWS)
+                right = np.zeros((n_terms, width))
+                right[term[at], query[at] - lo] = w[at]
+                s = np.round(left @ right, 9).T
+                s = np.where(s > 0, s + plus[None, :], -np.inf)
+                if s.shape[1] > k:
+                    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
+                    bar[lo : lo + width] = np.maximum(bar[lo : lo + width], kth)
+                q, j = np.nonzero((s >= bar[lo : lo + width, None]) & (s > -np.inf))
+                yield pa.RecordBatch.from_arrays([pa.array((q + lo).astype(np.int32)), pa.array(ids[j]), pa.array(s[q, j])], ["q", "doc", "score"])
+
+    near = own.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, "q int, doc bigint, score double")
+    back = session.createDataFrame([(i, str(n)) for i, n in enumerate(names)], "q int, query_id string") if dict(weights.dtypes)["query_id"] == "string" else session.createDataFrame([(i, int(n)) for i, n in enumerate(names)], "q int, query_id bigint")
+    return top_k(near, "q", k).join(F.broadcast(back), "q").select("query_id", "doc", "score")
+
+
+def _numbered(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values of a sorted array, the number of each element's, and where each begins."""
+    fresh = np.r_[True, docs[1:] != docs[:-1]]
+    first = np.flatnonzero(fresh)
+    return docs[first], np.cumsum(fresh) - 1, first
+
+
+def _document_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of rows sorted by document, cut between documents into blocks of about BLOCK_DOCS."""
+    held: list[np.ndarray] | None = None
+    for b in batches:
+        now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(b.num_columns)]
+        held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+        while True:
+            edges = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if len(edges) < BLOCK_DOCS:
+                break
+            cut = edges[BLOCK_DOCS - 1]
+            yield tuple(x[:cut] for x in held)
+            held = [x[cut:] for x in held]
+    if held is not None and len(held[0]):
+        yield tuple(held)
+
+
+def _matched(docs: DataFrame, terms: DataFrame, rows: int) -> DataFrame:
+    """(doc, term, tf, length): the postings of query terms, as a table. The filter comes before the count."""
+    tokens = docs.select("doc", lexical_tokens(F.col("text")).alias("t")).select("doc", F.size("t").alias("length"), F.explode("t").alias("term"))
+    wanted = join_bounded(tokens, terms.select("term").distinct(), "term", "left_semi", rows, 64)
+    return materialize(wanted.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("length").alias("length")), "matched-postings")
+
+
+def _bm25_sides(docs: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc, term, x) and (query_id, term, w), whose products sum up to the score."""
+    terms = query_terms(queries)
+    rows = terms.count()
+    hit = _matched(docs, terms, rows)
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = terms.join(df, "term").crossJoin(F.broadcast(stats))
-    weight = weight.select("query_id", "term", "mean_length", (F.col("times") * F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
-    scored = join_bounded(hit, weight, "term", "inner", rows, 96)
-    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    return scored.groupBy("query_id", "doc").agg(F.round(F.sum(part), 9).alias("score"))
+    stats = materialize(corpus_statistics(docs), "corpus-statistics")
+    weight = terms.join(df, "term").crossJoin(F.broadcast(stats.select("n_docs")))
+    weight = weight.select("query_id", "term", (F.col("times") * F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("w"))
+    x = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
+    return hit.crossJoin(F.broadcast(stats.select("mean_length"))).select("doc", "term", x.alias("x")), materialize(weight, "query-weights")
+
+
+def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc, score) of every document that shares a term with the query; scores are positive and rounded to 9
+    places, so that equal documents tie whatever the order of the sums."""
+    parts, weights = _bm25_sides(docs, queries)
+    scored = join_bounded(parts, weights, "term", "inner", weights.count(), 96)
+    return scored.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("x") * F.col("w")), 9).alias("score"))
 
 
-def weighted_terms(rows: DataFrame, key: str) -> DataFrame:
-    """(key, term, tf) of words of two letters or more and their pairs, function words taken out first."""
-    t = F.filter(word_tokens(F.col("text"), 2), lambda x: ~x.isin(STOP_WORDS))
+def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k best rows of :func:`bm25` for every query, ties to the smaller doc."""
+    return best_products(*_bm25_sides(docs, queries), k)
+
+
+def weighted_terms(rows: DataFrame, key: str, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """(key, term, tf) of words of two letters or more and their pairs, function words taken out first. A term is the 64-bit
+    hash of its word or words, which keeps the rows of a large vocabulary short."""
+    t = F.filter(word_tokens(F.col("text"), 2), lambda x: ~x.isin(stop_words)) if stop_words else word_tokens(F.col("text"), 2)
     words = rows.select(key, t.alias("t"))
-    pairs = F.when(F.size("t") > 1, F.zip_with(F.slice(F.col("t"), 1, F.size("t") - 1), F.slice(F.col("t"), 2, F.size("t")), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return words.select(key, F.explode(F.concat("t", pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    ones = F.transform("t", lambda w: F.xxhash64(w))
+    pairs = F.when(F.size("t") > 1, F.zip_with(F.slice(F.col("t"), 1, F.size("t") - 1), F.slice(F.col("t"), 2, F.size("t")), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+    return words.select(key, F.explode(F.concat(ones, pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tfidf_terms(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc, term, tf) and (term, idf) with smooth inverse document frequencies."""
-    terms = weighted_terms(docs, "doc")
+def _tfidf_sides(docs: DataFrame, queries: DataFrame, stop_words: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(doc, term, x) and (query_id, term, w): vectors of length 1 over smooth inverse document frequencies. The terms of the
+    corpus are counted once into a table; every step reads that."""
+    terms = materialize(weighted_terms(docs, "doc", stop_words), "document-terms")
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
-    return terms, idf
+    idf = materialize(idf, "term-weights")
+    vocabulary = idf.count()
+    weighed = terms.join(F.broadcast(idf), "term") if small_enough(vocabulary, 40) else skew_join(terms, idf, "term", "inner")
+    length = weighed.groupBy("doc").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length"))
+    q = materialize(weighted_terms(queries.select("query_id", F.col("query").alias("text")), "query_id", stop_words), "query-terms")
+    rows = q.count()
+    used = materialize(join_bounded(idf, q.select("term").distinct(), "term", "left_semi", rows, 64), "used-terms")
+    raw = q.join(used, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("x"))
+    unit = raw.join(raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")), "query_id").select("query_id", "term", (F.col("x") / F.col("norm")).alias("w"))
+    hit = join_bounded(terms, used, "term", "inner", rows, 64)
+    return hit.join(length, "doc").select("doc", "term", (F.col("tf") * F.col("idf") / F.col("length")).alias("x")), materialize(unit, "query-weights")
 
 
-def tfidf(docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc, score): cosine of weighted-term vectors; query terms that no document has are ignored. One join of
-    terms with their frequencies gives the lengths of the vectors; only the query terms go on to the scores."""
-    terms, idf = tfidf_terms(docs)
-    q = weighted_terms(queries.select("query_id", F.col("query").alias("text")), "query_id")
-    rows = q.count()
-    used = join_bounded(idf, q.select("term").distinct(), "term", "left_semi", rows, 64)
-    raw = q.join(used, "term").select("query_id", "term", (F.col("tf") * F.col("idf")).alias("x"), "idf")
-    unit = raw.join(raw.groupBy("query_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm")), "query_id").select("query_id", "term", (F.col("x") / F.col("norm") * F.col("idf")).alias("q"))
-    length = terms.join(idf, "term").groupBy("doc").agg(F.sqrt(F.sum(F.pow(F.col("tf") * F.col("idf"), 2))).alias("length"))
-    dot = join_bounded(terms, unit, "term", "inner", rows, 96).groupBy("query_id", "doc").agg(F.sum(F.col("tf") * F.col("q")).alias("dot"))
-    return dot.join(length, "doc").select("query_id", "doc", F.round(F.col("dot") / F.col("length"), 9).alias("score"))
+def tfidf(docs: DataFrame, queries: DataFrame, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """(query_id, doc, score): cosine of weighted-term vectors; query terms that no document has are ignored."""
+    parts, weights = _tfidf_sides(docs, queries, stop_words)
+    return join_bounded(parts, weights, "term", "inner", weights.count(), 96).groupBy("query_id", "doc").agg(F.round(F.sum(F.col("x") * F.col("w")), 9).alias("score"))
 
 
-def citation_recency(docs: DataFrame, queries: DataFrame, alpha: float = 0.1, beta: float = 0.2) -> DataFrame:
-    """(query_id, doc, score): lexical score plus logarithmic citations and year scaled between the corpus's ends.
-    ``docs`` also has year and citation_count; a null year adds nothing, a single year counts 1."""
+def tfidf_top(docs: DataFrame, queries: DataFrame, k: int, stop_words: list[str] = STOP_WORDS) -> DataFrame:
+    """The k best rows of :func:`tfidf` for every query, ties to the smaller doc."""
+    return best_products(*_tfidf_sides(docs, queries, stop_words), k)
+
+
+def _bonus(docs: DataFrame, alpha: float, beta: float) -> DataFrame:
+    """(doc, bonus): logarithmic citations, and the year scaled between the corpus's ends."""
     ends = docs.agg(F.min("year").alias("lo"), F.max("year").alias("hi"))
-    facts = docs.crossJoin(F.broadcast(ends)).select(
-        "doc",
-        (alpha * F.log1p(F.greatest(F.coalesce("citation_count", F.lit(0)), F.lit(0))) + beta * F.when(F.col("year").isNull(), 0.0).when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("year") - F.col("lo")) / (F.col("hi") - F.col("lo")))).alias("bonus"),
-    )
-    return bm25(docs, queries).join(facts, "doc").select("query_id", "doc", (F.col("score") + F.col("bonus")).alias("score"))
+    cited = alpha * F.log1p(F.greatest(F.coalesce("citation_count", F.lit(0)), F.lit(0)))
+    recent = beta * F.when(F.col("year").isNull(), 0.0).when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("year") - F.col("lo")) / (F.col("hi") - F.col("lo")))
+    return docs.crossJoin(F.broadcast(ends)).select("doc", (cited + recent).alias("bonus"))
+
+
+def citation_recency(docs: DataFrame, queries: DataFrame, alpha: float = 0.1, beta: float = 0.2) -> DataFrame:
+    """(query_id, doc, score): lexical score plus logarithmic citations and scaled year. ``docs`` also has year and
+    citation_count; a null year adds nothing, a single year counts 1."""
+    return bm25(docs, queries).join(_bonus(docs, alpha, beta), "doc").select("query_id", "doc", (F.col("score") + F.col("bonus")).alias("score"))
+
+
+def citation_recency_top(docs: DataFrame, queries: DataFrame, k: int, alpha: float = 0.1, beta: float = 0.2) -> DataFrame:
+    """The k best rows of :func:`citation_recency` for every query, ties to the smaller doc."""
+    parts, weights = _bm25_sides(docs, queries)
+    return best_products(parts.join(_bonus(docs, alpha, beta), "doc"), weights, k, "bonus")
 
 
 def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
@@ -120,48 +236,56 @@ def unit_vectors(df: DataFrame, vector: str) -> DataFrame:
 
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """(query_id, doc, score): exact cosine top k for every query vector; negative scores stay, the query's own id does
-    not count. Query vectors are collected in blocks of ``block`` and broadcast, each block meets one scan of all rows.
+    not count, ties go to the smaller doc.
 
     ``vectors`` has (doc, embedding), ``queries`` (query_id, embedding), all of one length; null, cut-off and zero vectors
-    must be filtered before.
+    must be filtered before. Both sides are cut into blocks by a hash and every block of queries meets every block of rows
+    in a task of its own, so neither side is gathered; one block of queries leaves the rows uncopied.
     """
-    spark = vectors.sparkSession
-    table = queries.select("query_id", "embedding").toArrow()
-    out = None
-    for start in range(0, max(1, table.num_rows), block):
-        part = table.slice(start, block)
-        ids = part.column("query_id").to_numpy()
-        q = np.array(part.column("embedding").to_pylist(), np.float64)
-        shared = spark.sparkContext.broadcast((ids, q / np.linalg.norm(q, axis=1, keepdims=True) if len(ids) else q))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, unit = shared.value
-            for b in batches:
-                if not len(own) or not b.num_rows:
-                    continue
-                doc = b.column(0).to_numpy(zero_copy_only=False)
-                order = np.argsort(doc, kind="stable")
-                x = np.array(b.column(1).to_pylist(), np.float64)[order]
-                doc, x = doc[order], x / np.linalg.norm(x, axis=1, keepdims=True)
-                s = np.where(own[:, None] == doc[None, :], -np.inf, unit @ x.T)
-                at = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                got = np.take_along_axis(s, at, 1).ravel()
-                keep = got > -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, at.shape[1])[keep]), pa.array(doc[at].ravel()[keep]), pa.array(got[keep])], ["query_id", "doc", "score"])
-
-        near = vectors.select("doc", "embedding").mapInArrow(scan, "query_id bigint, doc bigint, score double")
-        out = near if out is None else out.unionByName(near)
-    return top_k(out, "query_id", k).drop("rank")
+    sides = queries.select(F.lit(0).alias("side"), F.col("query_id").cast("bigint").alias("id"), "embedding").unionByName(vectors.select(F.lit(1).alias("side"), F.col("doc").cast("bigint").alias("id"), "embedding"))
+    sides = materialize(sides, "dense-sides")
+    sizes = {r["side"]: -(-r["count"] // block) for r in sides.groupBy("side").count().collect()}
+    nq, nv = max(1, sizes.get(0, 0)), max(1, sizes.get(1, 0))
+    own = lambda n: F.pmod(F.xxhash64("id", F.lit(29)), F.lit(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    q = sides.where("side = 0").select(own(nq).alias("a"), F.explode(every(nv)).alias("b"), "side", "id", "embedding")
+    v = sides.where("side = 1").select(F.explode(every(nq)).alias("a"), own(nv).alias("b"), "side", "id", "embedding")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by cell, queries first and then rows, each by id: the queries of a cell are held."""
+        now, ids, held = None, [], []
+        for b in batches:
+            a, c, side, at = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            x = np.array(b.column(4).to_pylist(), np.float64).reshape(b.num_rows, -1)
+            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            cuts = np.r_[0, np.flatnonzero((a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (side[1:] != side[:-1])) + 1, len(a)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if (a[lo], c[lo]) != now:
+                    now, ids, held = (a[lo], c[lo]), [], []
+                if side[lo] == 0:
+                    ids.append(at[lo:hi]), held.append(x[lo:hi])
+                elif held:
+                    names, unit = np.concatenate(ids), np.concatenate(held)
+                    ids, held = [names], [unit]
+                    s = np.where(names[:, None] == at[None, lo:hi], -np.inf, unit @ x[lo:hi].T)
+                    best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    got = np.take_along_axis(s, best, 1).ravel()
+                    keep = got > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, best.shape[1])[keep]), pa.array(at[lo:hi][best].ravel()[keep]), pa.array(got[keep])], ["query_id", "doc", "score"])
+
+    cells = q.unionByName(v).repartition(max(nq * nv, 1), "a", "b").sortWithinPartitions("a", "b", "side", "id")
+    return top_k(cells.mapInArrow(compare, "query_id bigint, doc bigint, score double"), "query_id", k).drop("rank")
 
 
 def hybrid(docs: DataFrame, queries: DataFrame, k: int, level: str = "basic_ml", now: int = 2026, dense: DataFrame | None = None) -> DataFrame:
     """(query_id, doc, score, bm25, tfidf, dense and all signals): union of the best of each retriever, scores scaled by
     their maximum per query, mixed with the quality signals; positive scores only, k per query.
 
-    Each retriever contributes its best max(8 k, 50). ``docs`` carries the metadata columns of the signals.
+    Each retriever contributes its best max(8 k, 50). ``docs`` carries the metadata columns of the signals; ``dense`` is a
+    run (query_id, doc, score) of vector search, where the queries have vectors.
     """
     width = max(8 * k, 50)
-    runs = {"bm25": bm25(docs, queries), "tfidf": tfidf(docs, queries)}
+    runs = {"bm25": bm25_top(docs, queries, width), "tfidf": tfidf_top(docs, queries, width)}
     if dense is not None:
         runs["dense"] = dense
     pool = None
@@ -188,8 +312,8 @@ def candidate_pool(runs: dict[str, DataFrame], k: int = 50) -> DataFrame:
 
 def more_like(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(query_id, doc, score): documents like each of the given ones, by its own text; itself left out."""
-    queries = docs.join(F.broadcast(ids.select("doc")), "doc", "left_semi").select(F.col("doc").alias("query_id"), F.col("text").alias("query"))
-    return top_k(bm25(docs, queries).where("doc <> query_id"), "query_id", k, tie="doc").drop("rank")
+    queries = docs.join(ids.select("doc").distinct(), "doc", "left_semi").select(F.col("doc").alias("query_id"), F.col("text").alias("query"))
+    return top_k(bm25_top(docs, queries, k + 1).where("doc <> query_id"), "query_id", k, tie="doc").drop("rank")
 
 
 def best_ranks(runs: dict[str, DataFrame], k: int) -> DataFrame:

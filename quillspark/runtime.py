@@ -22,21 +22,36 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: the session's spark.checkpoint.dir, or a local one when that is unset (tests)."""
+    """The folder every executor can reach: the session's spark.checkpoint.dir. Only a session whose executors run in the
+    driver (tests) may leave that unset; it gets a temporary folder, removed at exit."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not where:
+        if not in_driver(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = getattr(sc, "_quillspark_dir", None)
         if where is None:
             where = tempfile.mkdtemp(prefix="quillspark-")
             sc._quillspark_dir = where
+            atexit.register(shutil.rmtree, where, True)
     return where.rstrip("/")
 
 
+def in_driver(master: str) -> bool:
+    """Whether a master runs its executors inside the driver; local-cluster does not."""
+    return master == "local" or master.startswith("local[")
+
+
+def tables_dir(spark: SparkSession) -> str:
+    """Where this application keeps its intermediate tables."""
+    return f"{shared_dir(spark)}/quillspark-tables/{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as a compressed table in the shared folder and read it back, which cuts lineage durably."""
+    """Write ``df`` as a compressed table in the shared folder and read it back, which cuts lineage durably. The table stays
+    until :func:`release`, or until :func:`clear` at the end of the application's work: results read from it lazily."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quillspark-tables/{tag}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillspark_path = path
@@ -47,9 +62,17 @@ def release(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` once nothing reads it any more."""
     path = getattr(df, "_quillspark_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application. Call it when no result is read any more."""
+    _delete(spark, tables_dir(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -71,6 +94,13 @@ def ship_package(spark: SparkSession) -> None:
     sc._quillspark_shipped = True
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan with fewer partitions than the session has cores, dealt out to all of them before work that is heavy
+    per row. A scan of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def small_enough(rows: int, row_bytes: int) -> bool:
     """The check made before every broadcast of counted data."""
     return rows * row_bytes <= BROADCAST_BYTES
