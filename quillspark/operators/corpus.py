@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import identity_keys, normal_title
 from quillspark.operators.near_titles import near_title_links
+from quillspark.operators.ranking import numbered
 from quillspark.runtime import materialize
 
 # --- identity ----------------------------------------------------------------------------------------------------------
@@ -181,18 +184,18 @@ def ordinal_split(df: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def group_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, fold): whole groups dealt out in order of their name. Groups are numbered by a window over distinct groups."""
+    """(group, fold): whole groups dealt out in order of their name."""
     names = df.select(group).where(F.col(group).isNotNull()).distinct()
-    return names.select(group, ((F.row_number().over(Window.orderBy(group)) - 1) % folds).alias("fold"))
+    return numbered(names, group).select(group, (F.col("number") % folds).cast("int").alias("fold"))
 
 
 def paired_folds(df: DataFrame, group: str, weight: Column) -> DataFrame:
     """(fold, first, second): groups ordered by weight, the lightest paired with the heaviest and so on inwards."""
     w = df.groupBy(group).agg(F.sum(weight).alias("w")).where(F.col(group).isNotNull())
-    up = w.select(F.col(group).alias("first"), F.row_number().over(Window.orderBy("w", group)).alias("fold"))
-    down = w.select(F.col(group).alias("second"), F.row_number().over(Window.orderBy(F.desc("w"), F.desc(group))).alias("fold"))
-    n = w.agg(F.count(F.lit(1)).alias("n"))
-    return up.join(down, "fold").crossJoin(F.broadcast(n)).where("fold * 2 <= n + 1").select("fold", "first", "second")
+    at = materialize(numbered(w, "w", group).select(group, (F.col("number") + 1).cast("int").alias("fold")), "weighed-groups")
+    n = at.count()
+    second = at.select((n + 1 - F.col("fold")).cast("int").alias("fold"), F.col(group).alias("second"))
+    return at.withColumnRenamed(group, "first").join(second, "fold").where(F.col("fold") * 2 <= n + 1).select("fold", "first", "second")
 
 
 def triplets(df: DataFrame, seed: int, most: int) -> DataFrame:
@@ -211,15 +214,42 @@ def balanced_sample(df: DataFrame, label: str, key: Column, seed: int, size: int
     return r.where(F.col("_r") <= F.when(F.col(label), F.col("p")).otherwise(F.col("n"))).select(df.columns)
 
 
+#: Documents in one arc of the ring of :func:`negatives_by_hash`, on average.
+ARC_DOCS = 64
+
+
+def ring_place(seed: int, key: Column) -> Column:
+    """A place from 0 to 2**32 - 1 from the SHA-256 of seed and key."""
+    return F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), 1, 8), 16, 10).cast("bigint")
+
+
 def negatives_by_hash(queries: DataFrame, docs: DataFrame, taken: DataFrame, seed: int, k: int) -> DataFrame:
-    """(query, doc): k pseudo-random documents per query that are not taken. Documents are numbered in hash order and each
-    query starts at a place of its own, so no query meets all documents."""
-    n = docs.count()
-    numbered = docs.select("doc", (F.row_number().over(Window.orderBy(hash_share(seed, F.col("doc")), "doc")) - 1).alias("place"))
-    tried = queries.select("query", F.explode(F.sequence(F.lit(0), F.lit(4 * k))).alias("step"))
-    tried = tried.select("query", "step", F.pmod(F.xxhash64("query", F.lit(seed)) + F.col("step"), F.lit(max(n, 1))).alias("place"))
-    free = tried.join(numbered, "place").join(taken, ["query", "doc"], "left_anti").dropDuplicates(["query", "doc"])
-    return free.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("step"))).where(F.col("r") <= k).select("query", "doc")
+    """(query, doc): k pseudo-random documents per query that are not taken, or all free ones if they are fewer. Documents
+    and queries have places on a ring; a query gets the free documents that follow its own place. The ring is cut into arcs;
+    queries that do not find enough in their next arcs look further, until the whole ring is seen, so none is short."""
+    ring = 1 << 32
+    arcs = max(1, docs.count() // ARC_DOCS)
+    size = -(-ring // arcs)
+    placed = materialize(docs.select("doc").distinct().withColumn("at", ring_place(seed, F.col("doc"))).withColumn("arc", F.floor(F.col("at") / size)), "ring-documents")
+    rest = materialize(queries.select("query").distinct().withColumn("from", ring_place(seed + 1, F.col("query"))), "ring-queries")
+    reach, out = max(2, -(-2 * k // ARC_DOCS) + 1), None
+    while not rest.isEmpty():
+        whole = reach > arcs
+        steps = rest.select("query", "from", F.explode(F.sequence(F.lit(0), F.lit(min(reach, arcs) - 1))).alias("step"))
+        near = steps.withColumn("arc", F.pmod(F.floor(F.col("from") / size) + F.col("step"), F.lit(arcs))).join(placed, "arc")
+        near = near.withColumn("far", F.pmod(F.col("at") - F.col("from"), F.lit(ring)))
+        if not whole:
+            near = near.where(F.col("far") < (reach - 1) * size)
+        free = near.join(taken.select("query", "doc").distinct(), ["query", "doc"], "left_anti")
+        best = free.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("far", "doc"))).where(F.col("r") <= k)
+        best = materialize(best.select("query", "doc", F.max("r").over(Window.partitionBy("query")).alias("n")), "ring-negatives")
+        done = best if whole else best.where(F.col("n") == k)
+        out = done.select("query", "doc") if out is None else out.unionByName(done.select("query", "doc"))
+        if whole:
+            break
+        rest = materialize(rest.join(done.select("query").distinct(), "query", "left_anti"), "ring-queries")
+        reach *= 4
+    return out if out is not None else taken.select("query", "doc").limit(0)
 
 
 def quota_selection(df: DataFrame, group: str, quotas: dict[str, int], size: int) -> DataFrame:
@@ -252,19 +282,24 @@ def quota_selection(df: DataFrame, group: str, quotas: dict[str, int], size: int
 
 
 def size_batches(df: DataFrame, group: str, order: str, size: str, most: int) -> DataFrame:
-    """Adds batch: rows of a group in order, a new batch where the running size would pass ``most``; larger rows stand alone."""
-
-    def fill(g: pd.DataFrame) -> pd.DataFrame:
-        batch, total, out = 0, 0, []
-        g = g.sort_values(order)
-        for s in g[size]:
-            if total and total + s > most:
-                batch, total = batch + 1, 0
-            total += s
-            out.append(batch)
-        return g.assign(batch=out)
-
-    return df.groupBy(group).applyInPandas(fill, df.schema.simpleString()[7:-1].replace(":", " ") + ", batch int")
+    """Adds batch: rows of a group in order, a new batch where the running size would pass ``most``; larger rows stand alone.
+    A group's batches follow from each other, so its rows stream through one task, which holds a running size only."""
+
+    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, batch, total = object(), 0, 0
+        for g in parts:
+            out = []
+            for name, s in zip(g[group], g[size]):
+                if name != now:
+                    now, batch, total = name, 0, 0
+                if total and total + s > most:
+                    batch, total = batch + 1, 0
+                total += s
+                out.append(batch)
+            yield g.assign(batch=out)
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes) + ", batch int"
+    return df.repartition(group).sortWithinPartitions(group, order).mapInPandas(fill, schema)
 
 
 # --- validation --------------------------------------------------------------------------------------------------------

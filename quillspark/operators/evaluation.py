@@ -176,7 +176,7 @@ def acceptance(checks: dict[str, Column]) -> Column:
 def bootstrap(delta: DataFrame, times: int = 500) -> DataFrame:
     """(method, mean, low, high): 5th and 95th percentile of the mean change over resampled queries. A query's weight in a
     resample is drawn from its hash (a Poisson draw), so that resampling needs no shuffle of the rows by number."""
-    u = (F.pmod(F.xxhash64("query_id", "b", F.lit(146)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit("146"), "query_id", "b"), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
     steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]  # distribution of a Poisson count of mean 1
     weight = reduce(lambda a, b: a + b, [(u > s).cast("int") for s in steps])
     draws = delta.select("method", "query_id", "delta", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("b")).withColumn("w", weight)

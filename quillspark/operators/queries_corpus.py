@@ -14,6 +14,7 @@ from quillspark.operators.integrity import normal_identifier
 from quillspark.operators.queries_integrity import _NORMAL
 from quillspark.operators.queries_retrieval import BASE, HYBRID, NOW, QSIGNALS, SIGNALS, TFIDF, documents, query_table, sql_hits, sql_top
 from quillspark.runtime import load
+from quillspark.streaming.incremental import newer_than
 
 _LEVELS = ["save", "not_relevant", "too_easy", "too_hard", "more_like_this"]
 _KINDS = ["signup", "error", "click", "view", "purchase"]
@@ -265,7 +266,7 @@ def corpus_signature(spark: SparkSession, d: str) -> DataFrame:
 
 def newer_records(spark: SparkSession, d: str) -> DataFrame:
     """Records fetched after the start of 2025; those without a time are left out."""
-    return load(spark, d, "sample_papers").where("fetched_at > timestamp '2025-01-01 00:00:00'").select("external_id", "fetched_at")
+    return newer_than(load(spark, d, "sample_papers"), "fetched_at", "2025-01-01 00:00:00").select("external_id", "fetched_at")
 
 
 def reading_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -373,6 +374,11 @@ SQL = {
     "topic_folds": "SELECT venue, (row_number() OVER (ORDER BY venue) - 1) % 4 AS fold FROM (SELECT DISTINCT venue FROM papers WHERE venue IS NOT NULL)",
     "balanced_folds": "WITH w AS (SELECT venue, sum(coalesce(citation_count, 0)) AS w FROM papers WHERE venue IS NOT NULL GROUP BY 1), r AS (SELECT venue, row_number() OVER (ORDER BY w, venue) AS fold, count(*) OVER () AS n FROM w) SELECT a.fold, a.venue AS first, b.venue AS second FROM r a JOIN r b ON b.fold = a.n - a.fold + 1 WHERE a.fold * 2 <= a.n + 1",
     "training_triplets": f"WITH t AS (SELECT DISTINCT query, positive, negative FROM (SELECT query_paper_id AS query, positive_paper_id AS positive, unnest(negative_paper_ids) AS negative FROM training_examples) WHERE negative IS NOT NULL AND negative <> positive) SELECT query, positive, negative FROM t QUALIFY row_number() OVER (PARTITION BY query ORDER BY {_SHARE.format(17, '(' + chr(39) + chr(39) + ' || query || ' + chr(39) + ':' + chr(39) + ' || positive || ' + chr(39) + ':' + chr(39) + ' || negative)')}, positive, negative) <= 3",
+    "random_negatives": "WITH t AS (SELECT DISTINCT query_paper_id AS query, positive_paper_id AS doc FROM training_examples WHERE query_paper_id IS NOT NULL), q AS (SELECT DISTINCT query, ('0x' || substr(sha256('48:' || query), 1, 8))::BIGINT AS start FROM t), p AS (SELECT DISTINCT id AS doc, ('0x' || substr(sha256('47:' || id), 1, 8))::BIGINT AS pos FROM papers) SELECT query, p.doc FROM q, p WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.query = q.query AND t.doc = p.doc) QUALIFY row_number() OVER (PARTITION BY query ORDER BY (pos - start + 4294967296) % 4294967296, p.doc) <= 3",
+    "balanced_examples": f"WITH p AS (SELECT id, coalesce(citation_count >= 20, false) AS cited, {_SHARE.format(23, 'id')} AS u FROM papers), n AS (SELECT sum(cited::INT) AS a, sum((NOT cited)::INT) AS b FROM p), w AS (SELECT a, b, least(greatest(40, 100 - b), a) AS want FROM n), r AS (SELECT p.*, row_number() OVER (PARTITION BY cited ORDER BY u, id) AS r FROM p) SELECT id, cited FROM r, w WHERE r <= CASE WHEN cited THEN want ELSE least(100 - want, b) END",
+    "quota_packets": f"WITH rows AS (SELECT source, id AS row, coalesce(citation_count, 0)::DOUBLE AS score, year >= 2022 AS recent, citation_count >= 50 AS cited, doi IS NULL AS no_doi FROM papers WHERE source IS NOT NULL), a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, row) AS r FROM rows WHERE recent QUALIFY r <= 4), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, row) AS r FROM rows WHERE cited AND row NOT IN (SELECT row FROM a) QUALIFY r <= 3), c AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, row) AS r FROM rows WHERE no_doi AND row NOT IN (SELECT row FROM a UNION SELECT row FROM b) QUALIFY r <= 2), f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, row) AS r FROM rows WHERE row NOT IN (SELECT row FROM a UNION SELECT row FROM b UNION SELECT row FROM c)), u AS (SELECT source, row, 'recent' AS picked_for, 0 AS step, r FROM a UNION ALL SELECT source, row, 'cited', 1, r FROM b UNION ALL SELECT source, row, 'no_doi', 2, r FROM c UNION ALL SELECT source, row, 'fill', 3, r FROM f) SELECT source, row, picked_for, row_number() OVER (PARTITION BY source ORDER BY step, r) AS place FROM u QUALIFY place <= 12",
+    "export_batches": "WITH RECURSIVE p AS (SELECT coalesce(source, 'unknown') AS source, id, length(coalesce(abstract, '')) AS size, row_number() OVER (PARTITION BY coalesce(source, 'unknown') ORDER BY id) AS r FROM papers), w AS (SELECT source, id, size, r, size AS total, 0 AS batch FROM p WHERE r = 1 UNION ALL SELECT p.source, p.id, p.size, p.r, CASE WHEN w.total > 0 AND w.total + p.size > 20000 THEN p.size ELSE w.total + p.size END, CASE WHEN w.total > 0 AND w.total + p.size > 20000 THEN w.batch + 1 ELSE w.batch END FROM w JOIN p ON p.source = w.source AND p.r = w.r + 1) SELECT source, id, size, batch FROM w",
+    "personal_scores": f"WITH {_F}, l AS (SELECT DISTINCT \"user\", CASE WHEN action IN ('save', 'more_like_this') THEN 'saved' WHEN action = 'not_relevant' THEN 'skipped' END AS list, item FROM fb WHERE \"user\" % 100 = 0), w AS (SELECT id AS doc, unnest(list_distinct(regexp_extract_all(lower(concat_ws(' ', title, abstract)), '[a-z0-9]{{3,}}'))) AS w FROM papers), n AS (SELECT doc, count(*) AS n FROM w GROUP BY 1), near AS (SELECT a.doc AS item, b.doc, count(*) AS shared FROM w a JOIN w b USING (w) WHERE a.doc IN (SELECT item FROM l WHERE list IS NOT NULL) GROUP BY 1, 2), s AS (SELECT item, near.doc, shared / (n.n + m.n - shared)::DOUBLE AS s FROM near JOIN n ON n.doc = near.doc JOIN n m ON m.doc = near.item), g AS (SELECT \"user\", doc, coalesce(max(CASE WHEN list = 'saved' THEN s END), 0) AS saved_similarity, coalesce(max(CASE WHEN list = 'skipped' THEN s END), 0) AS skipped_similarity, max((list = 'saved' AND item = doc)::INT) AS saved, max((list = 'skipped' AND item = doc)::INT) AS skipped FROM l JOIN s USING (item) WHERE list IS NOT NULL GROUP BY 1, 2) SELECT \"user\", doc, round(greatest(least(0.10 * saved + 0.12 * saved_similarity - 0.30 * skipped - 0.12 * skipped_similarity, 0.25), -0.45), 6) AS score, round(saved_similarity, 6) AS saved_similarity, round(skipped_similarity, 6) AS skipped_similarity FROM g",
     "split_leaks": "SELECT positive_paper_id, count(DISTINCT lower(trim(split))) AS splits FROM training_examples WHERE split IS NOT NULL AND positive_paper_id IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lower(trim(split))) > 1",
     "record_violations": f"SELECT rule, count(*) AS rows, min(id) AS first FROM ({_rule(_RULES_P, 'papers', 'id')}) GROUP BY 1",
     "edge_violations": f"SELECT rule, count(*) AS rows FROM ({_rule(_RULES_E, 'citation_edges', 'edge_id')}) GROUP BY 1",

@@ -116,7 +116,7 @@ def scope_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bootstrap_interval(spark: SparkSession, d: str) -> DataFrame:
-    return E.bootstrap(E.deltas(_metrics(spark, d), "ndcg_linear", "cited"))
+    return _r(E.bootstrap(E.deltas(_metrics(spark, d), "ndcg_linear", "cited")), "mean", "low", "high")
 
 
 def normalisers(spark: SparkSession, d: str) -> DataFrame:
@@ -234,6 +234,7 @@ SQL = {
     "score_rank_correlation": f"WITH {JUDGED}, x AS (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY cited) + (count(*) OVER (PARTITION BY query_id, cited) - 1) / 2.0 AS a, rank() OVER (PARTITION BY query_id ORDER BY long) + (count(*) OVER (PARTITION BY query_id, long) - 1) / 2.0 AS b FROM judged) SELECT query_id, round(CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) ELSE 0 END, 6) AS rho FROM x GROUP BY 1",
     "score_summary": f"WITH {JUDGED} SELECT method, count(score) AS n, sum(CASE WHEN score IS NULL THEN 1 ELSE 0 END)::BIGINT AS nulls, round(min(score), 6) AS least, round(max(score), 6) AS most, round(avg(score), 6) AS mean, round(stddev_pop(score), 6) AS deviation FROM runs GROUP BY 1",
     "scope_counts": "SELECT scope, count(*) AS n, count(DISTINCT positive_paper_id) AS papers FROM (SELECT 'combined' AS scope, positive_paper_id FROM training_examples UNION ALL SELECT label_source, positive_paper_id FROM training_examples WHERE label_source IS NOT NULL) GROUP BY 1",
+    "bootstrap_interval": f"{_D}, b AS (SELECT method, b, delta, ('0x' || substr(sha256('146:' || query_id || ':' || b), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM d, generate_series(1, 500) g(b)), w AS (SELECT method, b, delta, (u > 0.36787944)::INT + (u > 0.73575888)::INT + (u > 0.91969860)::INT + (u > 0.98101184)::INT + (u > 0.99634015)::INT + (u > 0.99940582)::INT AS w FROM b), m AS (SELECT method, b, sum(w * delta) / greatest(sum(w), 1) AS m FROM w GROUP BY 1, 2) SELECT method, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.05), 6) AS low, round(quantile_cont(m, 0.95), 6) AS high FROM m GROUP BY 1",
     "normalisers": f"WITH {JUDGED} SELECT query_id, doc, round(CASE WHEN max(greatest(cited, 0)) OVER w > 0 THEN greatest(cited, 0) / max(greatest(cited, 0)) OVER w ELSE 0 END, 6) AS by_max, round(CASE WHEN max(cited) OVER w - min(cited) OVER w <= 0 THEN 0 ELSE (cited - min(cited) OVER w) / (max(cited) OVER w - min(cited) OVER w) END, 6) AS by_ends, round(CASE WHEN max(cited) OVER w - min(cited) OVER w <= 1e-12 THEN 0.5 ELSE (cited - min(cited) OVER w) / (max(cited) OVER w - min(cited) OVER w) END, 6) AS by_ends_half, round(CASE WHEN stddev_pop(cited) OVER w > 0 THEN (cited - avg(cited) OVER w) / stddev_pop(cited) OVER w ELSE 0 END, 6) AS by_deviation FROM judged WINDOW w AS (PARTITION BY query_id)",
     "margins": f"WITH {JUDGED}, r AS (SELECT query_id, doc, cited, row_number() OVER (PARTITION BY query_id ORDER BY cited DESC, doc) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM judged) SELECT query_id, doc, rank, round(cited - max(CASE WHEN rank = least(10, n) THEN cited END) OVER (PARTITION BY query_id), 6) AS margin FROM r",
     "rank_gaps": f"WITH {JUDGED}, r AS (SELECT query_id, cited, row_number() OVER w AS rank, lead(cited) OVER w AS nxt FROM judged WINDOW w AS (PARTITION BY query_id ORDER BY cited DESC, doc)) SELECT query_id, round(max(CASE WHEN rank = 3 THEN abs(cited - nxt) END), 6) AS gap FROM r GROUP BY 1",

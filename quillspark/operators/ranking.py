@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillspark.runtime import materialize
+
 
 def rank_order(group: str, score: str = "score", tie: str = "doc"):
     return Window.partitionBy(group).orderBy(F.desc(score), F.asc(tie))
@@ -57,3 +59,13 @@ def gap_at(df: DataFrame, group: str, place: int = 10, score: str = "score", tie
 def spread(columns: list[Column]) -> Column:
     """Largest minus smallest of several score columns."""
     return F.greatest(*columns) - F.least(*columns)
+
+
+def numbered(df: DataFrame, *order, name: str = "number") -> DataFrame:
+    """Adds ``name``, the place from 0 in the global order. Rows are sorted by a range partitioning and numbered inside their
+    ranges, and only one count per range is added up, so no task gets the whole table."""
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"))
+    parts = materialize(parts, "numbered")
+    before = F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.groupBy("_range").count().select("_range", F.coalesce(before, F.lit(0)).alias("_start"))
+    return parts.join(F.broadcast(starts), "_range").withColumn(name, F.col("_start") + F.col("_at")).drop("_range", "_at", "_start")
