@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.shingles import by_rarity, distinct_shingles, parts, rarity, verify_udf
+from quillspark.llm.shingles import RARITY_BITS, by_rarity, common_grams, gram_rarity, gram_table, unpack
 from quillspark.runtime import materialize, ship_package
 
 WORDS64 = 4
@@ -87,36 +87,50 @@ class GrayIndex:
         return q[keep], self.order[node[keep]]
 
 
-def _cell_pairs(ids, fp, sizes, slack, side_a=None, side_b=None):
-    """Distinct pairs inside one cell, or between two blocks of it."""
-    if len(ids) <= FANOUT and side_a is None:
-        i, j = np.triu_indices(len(ids), 1)
-        ok = np.bitwise_count(fp[i] ^ fp[j]).sum(axis=1) <= slack * (sizes[i] + sizes[j]) + 1e-9
-        return ids[i[ok]], ids[j[ok]]
-    a = np.arange(len(ids)) if side_a is None else np.flatnonzero(side_a)
-    b = np.arange(len(ids)) if side_b is None else np.flatnonzero(side_b)
-    index = GrayIndex(fp[b], sizes[b])
+def _fits(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether two records that meet at the given rarity places can still reach the similarity, this being the first shingle
+    that they share: a true pair fits at that one, so pairs that do not fit may be dropped."""
+    need = np.ceil(similarity / (1 + similarity) * (a[:, N] + b[:, N]) - 1e-9)
+    return np.minimum(a[:, N] - a[:, PLACE], b[:, N] - b[:, PLACE]) >= need
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(np.ascontiguousarray(a[:, FP:]).view(np.uint64) ^ np.ascontiguousarray(b[:, FP:]).view(np.uint64)).sum(axis=1)
+
+
+def _cell_pairs(g: np.ndarray, similarity: float, side_a=None, side_b=None):
+    """Pairs of rows inside one cell, or between two blocks of it, that may reach the similarity."""
+    slack = (1 - similarity) / (1 + similarity)
+    a = np.arange(len(g)) if side_a is None else np.flatnonzero(side_a)
+    b = np.arange(len(g)) if side_b is None else np.flatnonzero(side_b)
+    fp = np.ascontiguousarray(g[:, FP:]).view(np.uint64)
+    index = GrayIndex(fp[b], g[b, N])
     left, right = [], []
     for k in range(0, len(a), 256):
-        q, r = index.within(fp[a[k : k + 256]], sizes[a[k : k + 256]], slack)
+        q, r = index.within(fp[a[k : k + 256]], g[a[k : k + 256], N], slack)
         q, r = a[k : k + 256][q], b[r]
         if side_a is None:
             q, r = q[q < r], r[q < r]
-        left.append(ids[q])
-        right.append(ids[r])
+        ok = _fits(g[q], g[r], similarity)
+        left.append(g[q[ok], REP])
+        right.append(g[r[ok], REP])
     return np.concatenate(left), np.concatenate(right)
 
 
-def _pairs_of_sorted(slack: float):
+#: Columns of the rows that are compared.
+CELL, TASK, SIDE, REP, N, PLACE, FP = range(7)
+
+
+def _pairs_of_sorted(similarity: float):
     """mapInArrow function over rows sorted by (cell, task cell): keeps one cell at a time in memory, at most 2 blocks."""
+    slack = (1 - similarity) / (1 + similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def emit(rows, whole):
             """Pairs of all cells in ``rows`` but the last, which may go on, unless ``whole``."""
-            cell = rows[:, 0]
-            edge = np.flatnonzero((cell[1:] != cell[:-1]) | (rows[1:, 1] != rows[:-1, 1])) + 1
+            edge = np.flatnonzero((rows[1:, CELL] != rows[:-1, CELL]) | (rows[1:, TASK] != rows[:-1, TASK])) + 1
             cuts = np.r_[0, edge, len(rows)]
             last = len(cuts) - 1 if whole else len(cuts) - 2
             lengths = np.diff(cuts)[:last]
@@ -128,19 +142,19 @@ def _pairs_of_sorted(slack: float):
                 if not len(heads):
                     continue
                 a, b = rows[(heads[:, None] + i).ravel()], rows[(heads[:, None] + j).ravel()]
-                off = np.bitwise_count(a[:, 5:].view(np.uint64) ^ b[:, 5:].view(np.uint64)).sum(axis=1)
-                ok = (off <= slack * (a[:, 4] + b[:, 4]) + 1e-9) & ((a[:, 1] == 0) | (a[:, 2] != b[:, 2]))
-                left.append(a[ok, 3]), right.append(b[ok, 3])
+                ok = _fits(a, b, similarity) & ((a[:, TASK] == 0) | (a[:, SIDE] != b[:, SIDE]))
+                a, b = a[ok], b[ok]
+                ok = _far(a, b) <= slack * (a[:, N] + b[:, N]) + 1e-9
+                left.append(a[ok, REP]), right.append(b[ok, REP])
             for k in np.flatnonzero(lengths > FANOUT):
                 g = rows[cuts[k] : cuts[k + 1]]
-                ids, fp, n = g[:, 3], np.ascontiguousarray(g[:, 5:]).view(np.uint64), g[:, 4]
-                if g[0, 1] == 0:
-                    x, y = _cell_pairs(ids, fp, n, slack)
+                if g[0, TASK] == 0:
+                    x, y = _cell_pairs(g, similarity)
                 else:
-                    sides = np.unique(g[:, 2])
+                    sides = np.unique(g[:, SIDE])
                     if len(sides) < 2:
                         continue
-                    x, y = _cell_pairs(ids, fp, n, slack, g[:, 2] == sides[0], g[:, 2] == sides[1])
+                    x, y = _cell_pairs(g, similarity, g[:, SIDE] == sides[0], g[:, SIDE] == sides[1])
                 left.append(x), right.append(y)
             x = np.concatenate(left) if left else np.zeros(0, np.int64)
             y = np.concatenate(right) if right else np.zeros(0, np.int64)
@@ -164,36 +178,58 @@ def _pairs_of_sorted(slack: float):
     return run
 
 
-CELL_SCHEMA = "cell bigint, rep bigint, n bigint, " + ", ".join(f"f{k} bigint" for k in range(WORDS64))
+CELL_SCHEMA = "cell bigint, rep bigint, n bigint, place bigint, " + ", ".join(f"f{k} bigint" for k in range(WORDS64))
+
+
+def _prefixes(column: pa.Array, similarity: float, order: np.ndarray):
+    """(shingle, row number, size of its set, place) of the rarest shingles of packed sets, and the fingerprints."""
+    s, d = unpack(column)
+    fp = fingerprints(s, d, len(column)).view(np.int64)
+    s, d, place, size = by_rarity(s, d, order)
+    keep = place <= size - np.ceil(size * similarity - 1e-9)
+    return s[keep], d[keep], size[keep].astype(np.int64), place[keep].astype(np.int64), fp
 
 
-def cells(reps: DataFrame, n: int, similarity: float, counts) -> DataFrame:
-    """Rows (cell, rep, n, fingerprint): each record stands in the cells of its rarest shingles, enough of them that two
-    records with the given similarity must meet in one (prefix filter under one fixed order)."""
+def cells(grams: DataFrame, similarity: float, counts) -> DataFrame:
+    """Rows (cell, rep, n, place, fingerprint): each record stands in the cells of its rarest shingles, enough of them that
+    two records with the given similarity must meet in one (prefix filter under one fixed order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = counts.value
         for b in batches:
-            for part in parts(b, 1):
+            for start in range(0, b.num_rows, 2000):
+                part = b.slice(start, 2000)
+                s, d, size, place, fp = _prefixes(part.column(1), similarity, counts.value)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                s, d = distinct_shingles(part.column(1).to_pylist(), n)
-                fp = fingerprints(s, d, part.num_rows).view(np.int64)
-                s, d, place, size = by_rarity(s, d, order)
-                keep = place <= size - np.ceil(size * similarity - 1e-9)
-                s, d, size = s[keep], d[keep], size[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(s.view(np.int64)), pa.array(ids[d]), pa.array(size.astype(np.int64)), *(pa.array(fp[d, k]) for k in range(WORDS64))],
-                    ["cell", "rep", "n", *(f"f{k}" for k in range(WORDS64))],
+                    [pa.array(s.view(np.int64)), pa.array(ids[d]), pa.array(size), pa.array(place), *(pa.array(fp[d, k]) for k in range(WORDS64))],
+                    ["cell", "rep", "n", "place", *(f"f{k}" for k in range(WORDS64))],
                 )
 
-    return reps.mapInArrow(run, CELL_SCHEMA)
+    return grams.select("rep", "grams").mapInArrow(run, CELL_SCHEMA)
 
 
-def blocked(rows: DataFrame) -> DataFrame:
+def hot_cells(grams: DataFrame, similarity: float, counts) -> DataFrame:
+    """(cell, blocks) of the cells of more than BLOCK records. The rarity counts are upper bounds, so only shingles whose
+    bucket holds more than BLOCK are counted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 2000):
+                s, *_ = _prefixes(b.slice(start, 2000).column(0), similarity, counts.value)
+                s = s[counts.value[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)] > BLOCK]
+                if len(s):
+                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["cell"])
+
+    if int(counts.value.max(initial=0)) <= BLOCK:
+        return grams.limit(0).selectExpr("rep as cell", "0 as blocks")
+    found = grams.select("grams").mapInArrow(run, "cell bigint").groupBy("cell").count().where(F.col("count") > BLOCK)
+    return found.select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+
+
+def blocked(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Give each row its task cells. A cell of up to BLOCK rows is one task cell (0). A larger one is cut into blocks by
     record hash and each row is sent to every pair of blocks that its own block is in: all pairs still meet, no task
     holds more than two blocks, and the number of comparisons does not change."""
-    hot = rows.groupBy("cell").count().where(F.col("count") > BLOCK).select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     hot = materialize(hot, "hot-cells")
     if hot.isEmpty():
         return rows.select("cell", F.lit(0).cast("bigint").alias("task"), F.lit(0).cast("bigint").alias("side"), *rows.columns[1:])
@@ -220,13 +256,15 @@ def near_pairs(reps: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFram
     Jaccard similarity of at least ``similarity``. ``rep`` must be unique. Texts with fewer than n words have no
     shingles and no pair. Exact: prefix cells, Gray index and parity bound lose nothing, and each pair is verified."""
     ship_package(reps.sparkSession)
-    counts = reps.sparkSession.sparkContext.broadcast(rarity(reps, "text", n))
-    rows = cells(reps.select("rep", "text"), n, similarity, counts)
-    slack = (1 - similarity) / (1 + similarity)
-    split = blocked(rows)
-    found = split.repartition("cell", "task").sortWithinPartitions("cell", "task").mapInArrow(_pairs_of_sorted(slack), "id_a bigint, id_b bigint").distinct()
-    text_a = reps.select(F.col("rep").alias("id_a"), F.col("text").alias("text_a"))
-    text_b = reps.select(F.col("rep").alias("id_b"), F.col("text").alias("text_b"))
-    checked = found.join(text_a, "id_a").join(text_b, "id_b").select("id_a", "id_b", verify_udf(n)("text_a", "text_b").alias("v"))
+    return near_sets(materialize(gram_table(reps, "rep", "text", n), "gram-sets"), similarity)
+
+
+def near_sets(grams: DataFrame, similarity: float) -> DataFrame:
+    """As :func:`near_pairs`, of a table (rep, grams) of packed sets."""
+    counts = grams.sparkSession.sparkContext.broadcast(gram_rarity(grams))
+    split = blocked(cells(grams, similarity, counts), hot_cells(grams, similarity, counts))
+    found = split.repartition("cell", "task").sortWithinPartitions("cell", "task").mapInArrow(_pairs_of_sorted(similarity), "id_a bigint, id_b bigint").distinct()
+    one, two = grams.toDF("id_a", "grams_a"), grams.toDF("id_b", "grams_b")
+    checked = found.join(one, "id_a").join(two, "id_b").select("id_a", "id_b", common_grams("grams_a", "grams_b").alias("v"))
     jaccard = F.col("v.shared") / (F.col("v.in_a") + F.col("v.in_b") - F.col("v.shared"))
     return checked.select("id_a", "id_b", jaccard.alias("jaccard")).where(F.col("jaccard") >= similarity)

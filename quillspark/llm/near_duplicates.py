@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.components import components
-from quillspark.llm.gray_index import near_pairs
-from quillspark.llm.shingles import verify_udf
-from quillspark.runtime import materialize
+from quillspark.llm.gray_index import near_pairs, near_sets
+from quillspark.llm.shingles import gram_table
+from quillspark.runtime import materialize, ship_package
 
 
 def representatives(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     """Collapse equal texts: (rep, text, copies) with the smallest key of each text, and (rep, member) of repeated texts.
     Null text counts as empty; rows with a null key are left out; the aggregation combines before it shuffles."""
+    ship_package(df.sparkSession)
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("member"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     reps = materialize(rows.groupBy("text").agg(F.min("member").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
     repeated = reps.where("copies > 1").select("rep", F.sha2("text", 256).alias("digest"))
@@ -27,11 +28,12 @@ def near_duplicate_pairs(df: DataFrame, key: str, text: str, n: int = 5, similar
     Texts with fewer than n words pair with nothing. Extra columns are ignored; an empty table gives no rows.
     """
     reps, members = representatives(df, key, text)
-    links = materialize(near_pairs(reps, n, similarity), "near-links")
+    grams = materialize(gram_table(reps, "rep", "text", n), "gram-sets")
+    links = materialize(near_sets(grams, similarity), "near-links")
     members = materialize(members, "copies")
     a, b = members.toDF("id_a", "m_a"), members.toDF("id_b", "m_b")
     spread = links.join(a, "id_a", "left").join(b, "id_b", "left").select(F.coalesce("m_a", "id_a").alias("x"), F.coalesce("m_b", "id_b").alias("y"), "jaccard")
-    shingled = reps.where("copies > 1").where(verify_udf(n)("text", "text")["in_a"] > 0).select("rep")
+    shingled = grams.where(F.length("grams") > 0).select("rep")
     same = members.toDF("rep", "x").join(shingled, "rep", "left_semi").join(members.toDF("rep", "y"), "rep").where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
     return spread.unionByName(same).select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"), "jaccard")
 

@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.runtime import spread
+
 _WORD = re.compile(r"[^\W_]+")
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _CACHE_WORDS = 1 << 19
@@ -116,6 +118,60 @@ def rarity(df: DataFrame, text: str, n: int) -> np.ndarray:
     return out
 
 
+def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a column of packed sets in one array, and the row number of each."""
+    size = (pa.compute.fill_null(pa.compute.binary_length(column), 0).to_numpy(zero_copy_only=False) // 8).astype(np.int64)
+    return np.frombuffer(b"".join(x or b"" for x in column.to_pylist()), np.uint64), np.repeat(np.arange(len(size)), size)
+
+
+def gram_table(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
+    """(key, grams): the distinct n-word shingles of every text as packed 64-bit hashes in ascending order, so that texts
+    are read once, whatever is done with their shingles. Texts without shingles have an empty set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in parts(b, 1):
+                s, d = distinct_shingles(part.column(1).to_pylist(), n)
+                ends = np.searchsorted(d, np.arange(1, part.num_rows + 1)) * 8
+                raw, cuts = s.tobytes(), np.r_[0, ends]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([raw[i:j] for i, j in zip(cuts[:-1], cuts[1:])], pa.binary())], [key, "grams"])
+
+    return spread(df.select(F.col(key).cast("bigint"), F.col(text).cast("string"))).mapInArrow(run, f"{key} bigint, grams binary")
+
+
+def gram_rarity(grams: DataFrame) -> np.ndarray:
+    """As :func:`rarity`, from packed sets."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << RARITY_BITS, np.int64)
+        for b in batches:
+            s, _ = unpack(b.column(0))
+            total += np.bincount((s >> np.uint64(64 - RARITY_BITS)).astype(np.int64), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "texts"])
+
+    rows = grams.select("grams").mapInArrow(count, "bucket int, texts bigint").groupBy("bucket").agg(F.sum("texts").alias("texts")).toPandas()
+    out = np.zeros(1 << RARITY_BITS, np.int64)
+    out[rows["bucket"].to_numpy()] = rows["texts"].to_numpy()
+    return out
+
+
+def common_grams(a: str, b: str):
+    """Sizes of two columns of packed sets and of what they share, as a struct."""
+
+    @F.pandas_udf("in_a int, in_b int, shared int")
+    def common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(a), 3), np.int32)
+        for i, (x, y) in enumerate(zip(a, b)):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            both = np.concatenate((x, y))
+            both.sort(kind="stable")
+            out[i] = len(x), len(y), np.count_nonzero(both[1:] == both[:-1])
+        return pd.DataFrame(out, columns=["in_a", "in_b", "shared"])
+
+    return common(a, b)
+
+
 def by_rarity(s: np.ndarray, d: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of each text, rarest first: (shingle, text number, place in the order, shingles of that text)."""
     c = counts[(s >> np.uint64(64 - RARITY_BITS)).astype(np.int64)]
