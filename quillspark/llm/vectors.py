@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import skew_join
-from quillspark.runtime import materialize, ship_package
+from quillspark.runtime import materialize, ship_package, spread
 
-#: The tree is fitted on about so many rows, chosen by hash, whatever the size of the table; every row is indexed.
-SAMPLE_ROWS = 40_000
+#: The tree is fitted on a tenth of the rows, chosen by hash, but on no fewer than the first and no more than the second of
+#: these numbers; every row is indexed.
+SAMPLE_ROWS, MOST_SAMPLE_ROWS = 40_000, 400_000
 #: Queries of the calibration, compared with all rows.
 PROBES = 256
 LEAF_ROWS = 200
@@ -100,8 +101,7 @@ def _k_means(x: np.ndarray, k: int, rng, rounds: int = 8) -> tuple[np.ndarray, n
     for _ in range(rounds):
         mine = np.argmax(x @ centre.T, axis=1)
         kept = np.unique(mine)
-        total = np.zeros((len(centre), x.shape[1]))
-        np.add.at(total, mine, x)
+        total = np.stack([x[mine == c].sum(axis=0) for c in range(len(centre))])
         norm = np.linalg.norm(total[kept], axis=1, keepdims=True)
         centre = total[kept] / np.where(norm > 0, norm, 1)
     mine = np.argmax(x @ centre.T, axis=1)
@@ -178,7 +178,7 @@ def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 10, recall
 
 
 def fit_tree(reps: DataFrame, n: int) -> Tree:
-    share = min(1.0, SAMPLE_ROWS / n)
+    share = min(1.0, min(max(SAMPLE_ROWS, n // 10), MOST_SAMPLE_ROWS) / n)
     sample = reps.where(F.pmod(F.xxhash64("vid", F.lit(3)), F.lit(1 << 30)) <= int(share * (1 << 30))).select("vec").toArrow()
     x = _unit(_matrix(sample.column(0).combine_chunks()))
     return Tree(x, max(1, min(n // LEAF_ROWS, len(x) // 8)))
@@ -188,7 +188,8 @@ def calibrate(reps: DataFrame, tree, n: int, k: int, recall: float) -> tuple[int
     """Leaf visits that reach ``recall`` on probes, and the recall of 1, 2, ... visits. The true neighbours of the probes
     come from a scan of all rows against the broadcast probes."""
     share = min(1.0, 4 * PROBES / n)
-    rows = reps.where(F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1 << 30)) <= int(share * (1 << 30))).orderBy("vid").limit(PROBES).toArrow()
+    drawn = F.pmod(F.xxhash64("vid", F.lit(5)), F.lit(1 << 30))
+    rows = reps.where(drawn <= int(share * (1 << 30))).orderBy(drawn, "vid").limit(PROBES).orderBy("vid").toArrow()
     ids = rows.column("vid").to_numpy()
     probes = _unit(_matrix(rows.column("vec").combine_chunks()))
     shared = reps.sparkSession.sparkContext.broadcast((ids, probes))
@@ -221,43 +222,28 @@ def _search(reps: DataFrame, n: int, size: int, k: int, recall: float) -> DataFr
     tree = sc.broadcast(fit_tree(reps, n))
     visits, _ = calibrate(reps, tree, n, k, recall)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, met = np.zeros(tree.value.leaves, np.int64), np.zeros(tree.value.leaves, np.int64)
-        for b in batches:
-            x = _unit(_matrix(b.column(0)))
-            rows += np.bincount(tree.value.assign(x), minlength=len(rows))
-            met += np.bincount(tree.value.visits(x, visits).ravel(), minlength=len(rows))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rows))), pa.array(rows), pa.array(met)], ["leaf", "rows", "met"])
-
-    load = reps.select("vec").mapInArrow(count, "leaf bigint, rows bigint, met bigint").groupBy("leaf").agg(F.sum("rows").alias("rows"), F.sum("met").alias("met")).toPandas().sort_values("leaf")
-    blocks = sc.broadcast((np.maximum(1, -(-load["rows"].to_numpy() // BLOCK)), np.maximum(1, -(-load["met"].to_numpy() // QUERY_BLOCK))))
-
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (cell, kind, vid, vec): kind 0 for a leaf's own rows, 1 for the queries that visit it."""
-        by_row, by_query = blocks.value
+        """Each vector with its leaf and the leaves that it visits as a query."""
         for b in batches:
             for start in range(0, b.num_rows, 1000):
-                vid = b.column(0).slice(start, 1000).to_numpy(zero_copy_only=False)
-                x = _matrix(b.column(1).slice(start, 1000))
-                unit = _unit(x)
-                leaf, seen = tree.value.assign(unit), tree.value.visits(unit, visits)
-                cell, kind, who = [], [], []
-                salt = (vid * 2654435761 >> 7) & 0x7FFFFFFF
-                # a leaf row goes to its block, once for each block of queries
-                times = by_query[leaf]
-                at = np.repeat(np.arange(len(vid)), times)
-                turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                cell.append((leaf[at] << 40) | ((salt[at] % by_row[leaf[at]]) << 20) | turn)
-                kind.append(np.zeros(len(at), np.int32)), who.append(at)
-                # a query goes to every block of the leaf's rows, in its own block of queries
-                q, lf = np.repeat(np.arange(len(vid)), seen.shape[1]), seen.ravel()
-                times = by_row[lf]
-                at = np.repeat(np.arange(len(q)), times)
-                turn = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-                cell.append((lf[at] << 40) | (turn << 20) | (salt[q[at]] % by_query[lf[at]]))
-                kind.append(np.ones(len(at), np.int32)), who.append(q[at])
-                who = np.concatenate(who)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cell)), pa.array(np.concatenate(kind)), pa.array(vid[who]), _vectors(x[who])], ["cell", "kind", "vid", "vec"])
+                part = b.slice(start, 1000)
+                unit = _unit(_matrix(part.column(1)))
+                seen = tree.value.visits(unit, visits)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, seen.size + 1, seen.shape[1], dtype=np.int32)), pa.array(seen.ravel().astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tree.value.assign(unit).astype(np.int32)), lists], ["vid", "vec", "leaf", "seen"])
+
+    routed = materialize(spread(reps.select("vid", "vec")).mapInArrow(route, "vid bigint, vec array<float>, leaf int, seen array<int>"), "vector-routes")
+    rows = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("by_row"))
+    met = routed.select(F.explode("seen").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("by_query"))
+    blocks = F.broadcast(materialize(rows.join(met, "leaf"), "leaf-blocks"))  # no more rows than the tree has leaves
+    salt = F.pmod(F.xxhash64("vid", F.lit(11)), F.lit(1 << 30))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cell = lambda row, query: (F.shiftleft(F.col("leaf").cast("bigint"), 40) + F.shiftleft(row.cast("bigint"), 20) + query.cast("bigint")).alias("cell")
+    # a leaf row goes to its block, once for each block of queries; a query to every block of the leaf's rows, in its own block
+    leaf_rows = routed.select("leaf", "vid", "vec").join(blocks, "leaf").select("*", every("by_query").alias("turn"))
+    leaf_rows = leaf_rows.select(cell(F.pmod(salt, F.col("by_row")), F.col("turn")), F.lit(0).alias("kind"), "vid", "vec")
+    queries = routed.select(F.explode("seen").alias("leaf"), "vid", "vec").join(blocks, "leaf").select("*", every("by_row").alias("turn"))
+    queries = queries.select(cell(F.col("turn"), F.pmod(salt, F.col("by_query"))), F.lit(1).alias("kind"), "vid", "vec")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by cell, kind and id: one block of leaf rows is held, queries stream past it."""
@@ -285,7 +271,6 @@ def _search(reps: DataFrame, n: int, size: int, k: int, recall: float) -> DataFr
                     ok = best.ravel() > -np.inf
                     yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vid[s:e], best.shape[1])[ok]), pa.array(other.ravel()[ok]), pa.array(best.ravel()[ok])], ["vid", "other", "similarity"])
 
-    routed = reps.select("vid", "vec").mapInArrow(route, "cell bigint, kind int, vid bigint, vec array<float>")
-    near = routed.repartition("cell").sortWithinPartitions("cell", "kind", "vid").mapInArrow(compare, "vid bigint, other bigint, similarity double")
+    near = leaf_rows.unionByName(queries).repartition("cell").sortWithinPartitions("cell", "kind", "vid").mapInArrow(compare, "vid bigint, other bigint, similarity double")
     best = Window.partitionBy("vid").orderBy(F.desc("similarity"), "other")
     return near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("vid", "other", "similarity")
