@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.runtime import ship_package
+from quillspark.runtime import materialize, ship_package, spread
 
-PIVOTS = 48
+#: Pivots of a small table, up to PIVOTS_ROWS strings; beyond, they grow with the square root of the strings up to a bound,
+#: so that cells grow no faster.
+PIVOTS, PIVOTS_ROWS, MOST_PIVOTS = 48, 40_000, 512
 #: Pivots are chosen among so many strings, taken by hash; a fixed bound.
 PIVOT_SAMPLE = 1500
 #: Strings of a cell that are compared with all of it at once; bounds the memory of a task.
@@ -84,11 +86,12 @@ def radius_pairs(strings: DataFrame, column: str, radius: int = 1) -> DataFrame:
     """
     spark = strings.sparkSession
     ship_package(spark)
-    rows = strings.where(F.length(column) > 0).select(F.col(column).alias("s")).distinct()
+    rows = materialize(strings.where(F.length(column) > 0).select(F.col(column).alias("s")).distinct(), "metric-strings")
     total = rows.count()
     share = min(1.0, PIVOT_SAMPLE / max(1, total))
     sample = [r[0] for r in rows.where(F.pmod(F.xxhash64("s", F.lit(23)), F.lit(1 << 30)) <= int(share * (1 << 30))).collect()]
-    pivots = spark.sparkContext.broadcast(choose_pivots(sample))
+    count = min(MOST_PIVOTS, int(PIVOTS * max(1.0, total / PIVOTS_ROWS) ** 0.5))
+    pivots = spark.sparkContext.broadcast(choose_pivots(sample, count))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (cell, home, s, sign): sign holds the distances to the pivots, one byte each."""
@@ -128,13 +131,16 @@ def radius_pairs(strings: DataFrame, column: str, radius: int = 1) -> DataFrame:
                         yield out
                 start = stop
 
-    routed = rows.mapInArrow(route, "cell int, home boolean, s string, sign binary")
+    routed = materialize(spread(rows).mapInArrow(route, "cell int, home boolean, s string, sign binary"), "metric-cells")
     # every string of a cell is held in one of its parts, by hash; the home strings visit all parts
     parts = routed.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts"))
-    sized = routed.join(F.broadcast(parts), "cell")  # at most PIVOTS rows
+    parts = materialize(parts, "cell-parts")
+    sized = routed.join(F.broadcast(parts), "cell")  # at most MOST_PIVOTS rows
+    # few bytes but much work a part: a fixed number of partitions, since small ones would be put together in one task
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(10_000, parts.agg(F.sum("parts")).first()[0] or 1))
     own = sized.select("cell", F.pmod(F.xxhash64("s"), F.col("parts")).cast("int").alias("part"), F.lit(False).alias("home"), "s", "sign")
     visits = sized.where("home").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("home"), "s", "sign")
-    near = own.unionByName(visits).repartition("cell", "part").sortWithinPartitions("cell", "part", "home").mapInArrow(compare, "a string, b string, distance int")
+    near = own.unionByName(visits).repartition(tasks, "cell", "part").sortWithinPartitions("cell", "part", "home").mapInArrow(compare, "a string, b string, distance int")
     return near.distinct()
 
 
