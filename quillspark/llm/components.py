@@ -5,18 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.operators.joins import HOT_ROWS, hot_keys, split_join
 from quillspark.runtime import materialize, release
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star step over edges (u, v). The neighbourhood of a node is never gathered: its minimum comes from an
-    aggregation that combines before the shuffle, and is joined back to the edges."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """One star step over a table of ``total`` edges (u, v). The neighbourhood of a node is never gathered: its minimum comes
+    from an aggregation that combines before the shuffle, and is joined back to the edges, those of nodes with very many
+    neighbours by a broadcast of their few minima."""
     if large:
         ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         ways = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    lows = ways.groupBy("u").agg(F.min("v").alias("low")).withColumn("low", F.least("u", "low"))
-    met = ways.join(lows, "u")
+    lows = ways.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("count")).withColumn("low", F.least("u", "low"))
+    if total > HOT_ROWS:
+        lows = materialize(lows, "lows")
+    met = split_join(ways, lows.select("u", "low"), "u", "inner", hot_keys(lows, "u", total))
     if large:
         out = met.where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
     else:
@@ -32,11 +36,15 @@ def components(edges: DataFrame, a: str, b: str, most_rounds: int = 60) -> DataF
     """
     now = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     now = materialize(now, "edges")
-    seen = None
+    seen, count = None, now.count()
     for _ in range(most_rounds):
-        following = materialize(_star(_star(now, True), False), "edges")
+        middle = _star(now, True, count)
+        if count > HOT_ROWS:
+            middle = materialize(middle, "edges")
+        following = materialize(_star(middle, False, count), "edges")
         count, total = following.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         release(now)
+        release(middle)
         now = following
         if seen == (count, total):
             break
