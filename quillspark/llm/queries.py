@@ -14,22 +14,17 @@ from quillspark.llm.near_duplicates import near_duplicate_classes, near_duplicat
 from quillspark.llm.overlap import cross_split_overlaps, overlap_report, split_name
 from quillspark.llm.tokens import encode_corpus
 from quillspark.llm.vectors import nearest
+from quillspark.operators.joins import skew_join
 from quillspark.runtime import load, materialize
 
 
-def _overlaps(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = load(spark, d, "training_examples")
-    return rows, cross_split_overlaps(rows, "example_id", "split", "positive_paper_id", "query_text")
-
-
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    _, pairs = _overlaps(spark, d)
+    pairs = cross_split_overlaps(load(spark, d, "training_examples"), "example_id", "split", "positive_paper_id", "query_text")
     return pairs.select(F.least("train_id", "eval_id").alias("example_id_a"), F.greatest("train_id", "eval_id").alias("example_id_b"))
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    rows, pairs = _overlaps(spark, d)
-    return overlap_report(rows, "example_id", "split", "label_source", pairs)
+    return overlap_report(load(spark, d, "training_examples"), "example_id", "split", "label_source", "positive_paper_id", "query_text")
 
 
 def _paper_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -50,7 +45,7 @@ def _linked_examples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]
     """(rows with clean split, their groups): query ids join rows only when they name a manual query."""
     rows = load(spark, d, "training_examples").select("example_id", "query_paper_id", split_name("split").alias("split"), F.lower(F.trim("query_id")).alias("query"))
     known = load(spark, d, "manual_queries").select(F.lower(F.trim("query_id")).alias("query")).distinct().withColumn("known", F.col("query"))
-    rows = materialize(rows.join(known, "query", "left"), "examples")
+    rows = materialize(skew_join(rows, known, "query"), "examples")
     return rows, linked_rows(rows, "example_id", "query_paper_id", "known")
 
 

@@ -90,7 +90,7 @@ def test_cross_split_overlaps(spark, texts):
     side = {"train": 0, " Training": 0, "VAL": 1, "dev": 1, "test ": 1}
     want = {(a[0], b[0]) for a in rows for b in rows if side.get(a[1]) == 0 and side.get(b[1]) == 1 and a[2] is not None and a[2] == b[2] and ((a[3] or "") == (b[3] or "") or jaccard(a[3], b[3]) >= 0.5)}
     assert set(got) == want and len(got) == len(want) and want
-    assert overlap_report(df, "example_id", "split", "label_source", out).agg({"pairs": "sum"}).first()[0] == len(want)
+    assert overlap_report(df, "example_id", "split", "label_source", "positive_paper_id", "query_text").agg({"pairs": "sum"}).first()[0] == len(want)
     assert cross_split_overlaps(df.limit(0), "example_id", "split", "positive_paper_id", "query_text").count() == 0
 
 
