@@ -16,8 +16,7 @@ import regex
 
 #: Fixed value: the pattern that splits text before the merges of the public 50k byte vocabulary.
 SPLIT_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Characters held back at the end of a chunk: a contraction needs two more, white space one more.
-SPLIT_LOOKAHEAD = 3
+#: Texts up to this length are split all at once, longer ones word by word.
 CHUNK_CHARS = 1 << 16
 CACHE_WORDS = 1 << 18
 
@@ -145,25 +144,18 @@ class Transducer:
         return got
 
     def encode(self, text: str | None, chunk: int = CHUNK_CHARS) -> list[int]:
-        """Ids of a whole text, without special tokens; null and empty text give the empty list."""
+        """Ids of a whole text, without special tokens; null and empty text give the empty list. Words are taken one at a
+        time in reading order; a word without end, such as a line of one letter, goes through the transducer in pieces."""
         if not text:
             return []
+        out: list[int] = []
         if len(text) <= chunk:
-            out: list[int] = []
             known = self.words
             for w in self.split.findall(text):
                 out.extend(known.get(w) or self.word(w))
             return out
-        out, held = [], ""
-        for start in range(0, len(text), chunk):
-            held += text[start : start + chunk]
-            final, done = start + chunk >= len(text), 0
-            for m in self.split.finditer(held):
-                if not final and m.end() > len(held) - SPLIT_LOOKAHEAD:
-                    break
-                out.extend(self.word(m.group()))
-                done = m.end()
-            held = held[done:]
+        for m in self.split.finditer(text):
+            out.extend(self.word(m.group()))
         return out
 
 
