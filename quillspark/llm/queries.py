@@ -11,6 +11,7 @@ from quillspark.llm.languages import document_languages, document_segments, fit_
 from quillspark.llm.matching import assign_one_to_one, match_records
 from quillspark.llm.names import variant_pairs
 from quillspark.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
+from quillspark.llm.oracle import SQL  # noqa: F401
 from quillspark.llm.overlap import cross_split_overlaps, overlap_report, split_name
 from quillspark.llm.tokens import encode_corpus
 from quillspark.llm.vectors import nearest
@@ -24,7 +25,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_report(spark: SparkSession, d: str) -> DataFrame:
-    return overlap_report(load(spark, d, "training_examples"), "example_id", "split", "label_source", "positive_paper_id", "query_text")
+    report = overlap_report(load(spark, d, "training_examples"), "example_id", "split", "label_source", "positive_paper_id", "query_text")
+    return report.withColumn("most_contained", F.round("most_contained", 6))
 
 
 def _paper_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -106,4 +108,3 @@ def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_classes, p4_found, p4_splits, p5_found, p5_assigned, p6_found, p8_ids, p9_found, p10_found, p10_segments, p10_languages)}
-SQL: dict[str, str] = {}
