@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import queries_corpus, queries_evaluation, queries_integrity, queries_learning, queries_retrieval
+from quillspark.operators import queries_corpus, queries_evaluation, queries_integrity, queries_labels, queries_learning, queries_retrieval
 
-MODULES = [queries_retrieval, queries_evaluation, queries_corpus, queries_integrity, queries_learning]
+MODULES = [queries_retrieval, queries_evaluation, queries_corpus, queries_integrity, queries_learning, queries_labels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
