@@ -17,7 +17,7 @@ from quillspark.runtime import load, spread
 
 TITLE_TERMS = ["learning", "graph", "neural", "model", "models", "network"]
 FALSE_FRIENDS = ["traffic", "mesh", "clinical", "survey", "random walk"]
-ROLES = ["background", "foundational", "core_method", "application", "evaluation", "tutorial"]
+ROLES = ["background", "foundational", "core_methods", "recent_frontier", "evaluation_benchmark", "application"]
 
 
 def labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -28,7 +28,7 @@ def labelled(spark: SparkSession, d: str) -> DataFrame:
     return judged(spark, d).select(
         "*", reading.alias("reading"), F.least(0.5 * reading + F.when(doc % 3 == 0, 0.5).otherwise(0.1), F.lit(1.0)).alias("topic"),
         F.when(reading >= 0.66, 2).when(reading >= 0.33, 1).otherwise(0).alias("bucket"), pick(ROLES, doc).alias("role"), pick(ROLES, F.floor(doc / 6)).alias("second_role"),
-        pick(["none", "possible_duplicate", "near_duplicate", "exact_duplicate"], doc).alias("status"), ((doc % 5) / 4.0).alias("beginner"), ((doc % 7) / 6.0).alias("intermediate"), ((doc % 3) / 2.0).alias("advanced"),
+        pick(["none", "uncertain", "near_duplicate", "exact_duplicate"], doc).alias("status"), ((doc % 5) / 4.0).alias("beginner"), ((doc % 7) / 6.0).alias("intermediate"), ((doc % 3) / 2.0).alias("advanced"),
     )
 
 
@@ -152,7 +152,7 @@ QUERIES = {f.__name__: f for f in (paper_flags, coverage_guesses, label_flags, p
 _pick = lambda names, n: f"{sql_list(names)}[({n}) % {len(names)} + 1]"
 LAB = f"""{JUDGED}, lab AS (SELECT *, coalesce(gain, 0.0) AS reading, least(0.5 * coalesce(gain, 0.0) + CASE WHEN doc % 3 = 0 THEN 0.5 ELSE 0.1 END, 1.0)::DOUBLE AS topic,
   CASE WHEN coalesce(gain, 0.0) >= 0.66 THEN 2 WHEN coalesce(gain, 0.0) >= 0.33 THEN 1 ELSE 0 END AS bucket, {_pick(ROLES, 'doc')} AS role, {_pick(ROLES, 'doc // 6')} AS second_role,
-  {_pick(['none', 'possible_duplicate', 'near_duplicate', 'exact_duplicate'], 'doc')} AS status, (doc % 5) / 4.0::DOUBLE AS beginner, (doc % 7) / 6.0::DOUBLE AS intermediate, (doc % 3) / 2.0::DOUBLE AS advanced FROM judged),
+  {_pick(['none', 'uncertain', 'near_duplicate', 'exact_duplicate'], 'doc')} AS status, (doc % 5) / 4.0::DOUBLE AS beginner, (doc % 7) / 6.0::DOUBLE AS intermediate, (doc % 3) / 2.0::DOUBLE AS advanced FROM judged),
 lruns AS (SELECT lab.*, r.method, r.score, row_number() OVER (PARTITION BY r.method, lab.query_id ORDER BY r.score DESC, lab.doc) AS rank FROM lab JOIN runs r ON r.query_id = lab.query_id AND r.doc = lab.doc)"""
 _T, _A = "lower(coalesce(title, ''))", "lower(coalesce(abstract, ''))"
 _TA = f"({_T} || ' ' || {_A})"
@@ -167,7 +167,7 @@ _TAG_SQL = [f"CASE WHEN {sql_hits('tt', terms)} > 0{' OR coalesce(citation_count
 
 def _at(names: list[str], most: int, before: int) -> str:
     places = ", ".join(f"CASE WHEN regexp_matches(low, '\\b{n}\\b') THEN length(regexp_extract(low, '^(.*?)\\b{n}\\b', 1)) + 1 END" for n in names)
-    return f"substr(flat, greatest(coalesce({places}) - {before}, 1), {most})" if before == 0 else f"CASE WHEN coalesce({places}) IS NOT NULL THEN substr(flat, greatest(coalesce({places}) - {before}, 1), {most}) END"
+    return f"CASE WHEN coalesce({places}) IS NOT NULL THEN substr(flat, greatest(coalesce({places}) - {before}, 1), {most}) END"
 
 
 _DENSE_HYBRID = (
