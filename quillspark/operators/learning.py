@@ -75,3 +75,61 @@ def sample_weights(df: DataFrame, group: str) -> DataFrame:
     total = own.agg(F.sum("_own").alias("_n"))
     sized = own.crossJoin(F.broadcast(total)).select(F.col(group).alias("_g"), (F.col("_n") / F.col("_own")).alias("weight"))
     return df.join(sized, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+
+
+def specs(names: list[str], label: str = "y", seed: int = 13) -> dict:
+    """Learners by name over a vector column ``_x``: ridge, elastic, logistic (label from 0.5 is 1), forest, deep_forest, boosted."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+
+    known = {
+        "ridge": lambda: LinearRegression(regParam=0.01, elasticNetParam=0.0), "elastic": lambda: LinearRegression(regParam=0.01, elasticNetParam=0.5), "logistic": lambda: LogisticRegression(regParam=0.01),
+        "forest": lambda: RandomForestRegressor(numTrees=20, maxDepth=5, seed=seed), "deep_forest": lambda: RandomForestRegressor(numTrees=40, maxDepth=8, seed=seed), "boosted": lambda: GBTRegressor(maxIter=15, maxDepth=3, seed=seed),
+    }
+    return {n: known[n]().setFeaturesCol("_x").setLabelCol("_b" if n == "logistic" else label).setPredictionCol("_p") for n in names}
+
+
+def _assembled(df: DataFrame, features: list[str], label: str) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    filled = df.where(F.col(label).isNotNull()).withColumns({f"_f{i}": F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for i, f in enumerate(features)})
+    rows = filled.withColumns({"y": F.col(label).cast("double"), "_b": (F.col(label) >= 0.5).cast("double")})
+    return VectorAssembler(inputCols=[f"_f{i}" for i in range(len(features))], outputCol="_x").transform(rows)
+
+
+def leave_one_group_out(df: DataFrame, group: str, features: list[str], label: str, names: list[str]) -> DataFrame:
+    """(model, group, doc, prediction, label): every row under models fitted on the other groups. Groups are folds of topics, few
+    by their nature; each model is fitted once per group."""
+    from functools import reduce
+
+    from pyspark.ml.functions import vector_to_array
+
+    rows = _assembled(df, features, label)
+    groups = [r[0] for r in rows.select(group).where(F.col(group).isNotNull()).distinct().orderBy(group).collect()]
+    out = []
+    for g in groups:
+        train, held = rows.where(F.col(group) != g), rows.where(F.col(group) == g)
+        for n, learner in specs(names).items():
+            if n == "logistic" and train.select("_b").distinct().count() < 2:
+                continue
+            p = learner.fit(train).transform(held)
+            value = vector_to_array("probability")[1] if n == "logistic" else F.col("_p")
+            out.append(p.select(F.lit(n).alias("model"), F.col(group), "doc", value.alias("prediction"), F.col("y").alias("label")))
+    return reduce(DataFrame.unionByName, out) if out else rows.select(F.lit("").alias("model"), group, "doc", F.lit(0.0).alias("prediction"), F.col("y").alias("label")).limit(0)
+
+
+def text_model(df: DataFrame, text: str, features: list[str], label: str, words: int = 1 << 14, penalty: float = 0.1):
+    """A fitted pipeline over (text, features): hashed words and word pairs weighted by rarity, beside the scaled features, into
+    a ridge regression. Its transform adds prediction."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, SQLTransformer, StandardScaler, VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    own = ", ".join(f"coalesce(cast({f} as double), 0.0D) AS _s{i}" for i, f in enumerate(features))
+    steps = [
+        SQLTransformer(statement=f"SELECT *, coalesce({text}, '') AS _text, {own} FROM __THIS__"), RegexTokenizer(inputCol="_text", outputCol="_w", pattern="[a-z0-9]+", gaps=False), NGram(inputCol="_w", outputCol="_n", n=2),
+        SQLTransformer(statement="SELECT *, concat(_w, _n) AS _t FROM __THIS__"), HashingTF(inputCol="_t", outputCol="_tf", numFeatures=words), IDF(inputCol="_tf", outputCol="_idf"),
+        VectorAssembler(inputCols=[f"_s{i}" for i in range(len(features))], outputCol="_sv"), StandardScaler(inputCol="_sv", outputCol="_sc"), VectorAssembler(inputCols=["_idf", "_sc"], outputCol="_x"),
+        LinearRegression(featuresCol="_x", labelCol=label, regParam=penalty, predictionCol="prediction", maxIter=20, solver="l-bfgs"),
+    ]
+    return Pipeline(stages=steps).fit(df.where(F.col(label).isNotNull()))

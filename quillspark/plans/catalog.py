@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.operators import queries_corpus, queries_diagnostics, queries_evaluation, queries_integrity, queries_labels, queries_learning, queries_retrieval
+from quillspark.operators import queries_corpus, queries_diagnostics, queries_evaluation, queries_integrity, queries_labels, queries_learning, queries_retrieval, queries_selection, queries_sources
 
-MODULES = [queries_retrieval, queries_evaluation, queries_corpus, queries_integrity, queries_learning, queries_labels, queries_diagnostics]
+MODULES = [queries_retrieval, queries_evaluation, queries_corpus, queries_integrity, queries_learning, queries_labels, queries_diagnostics, queries_selection, queries_sources]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -62,15 +62,16 @@ def release(df: DataFrame) -> None:
     """Delete a table written by :func:`materialize` once nothing reads it any more."""
     path = getattr(df, "_quillspark_path", None)
     if path:
-        _delete(df.sparkSession, path)
+        delete(df.sparkSession, path)
 
 
 def clear(spark: SparkSession) -> None:
     """Delete all intermediate tables of this application. Call it when no result is read any more."""
-    _delete(spark, tables_dir(spark))
+    delete(spark, tables_dir(spark))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file of any file system that Spark knows; one that is not there is no error."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 

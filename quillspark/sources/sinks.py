@@ -46,3 +46,22 @@ def latest_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """The row of the manifest written last; no rows if there is none."""
     schema = "name string, rows bigint, filled map<string, bigint>, inserted bigint, skipped bigint, errors array<string>, warnings array<string>, written_at timestamp"
     return spark.read.schema(schema).option("recursiveFileLookup", True).json(folder).orderBy(F.desc("written_at"), "name").limit(1)
+
+
+def write_report(spark: SparkSession, folder: str, name: str, facts: dict, tables: dict[str, DataFrame], most: int = 200) -> None:
+    """A report as <name>.json and <name>.md: facts, and tables of aggregated rows, each of no more than ``most`` rows; a larger
+    table is an error, since a report is for reading."""
+    import json
+
+    held = {}
+    for title, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"table {title} has more than {most} rows")
+        held[title] = (df.columns, [[None if v is None else v for v in r] for r in rows])
+    whole = {"facts": facts, "tables": {t: [dict(zip(c, r)) for r in rows] for t, (c, rows) in held.items()}}
+    lines = [f"# {name}", "", *[f"- {k}: {v}" for k, v in facts.items()]]
+    for title, (columns, rows) in held.items():
+        lines += ["", f"## {title}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns), *["| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]]
+    for end, text in (("json", json.dumps(whole, default=str, ensure_ascii=False)), ("md", "\n".join(lines))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").option("lineSep", "\n").text(f"{folder.rstrip('/')}/{safe_name(name)}.{end}")
