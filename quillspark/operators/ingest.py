@@ -33,14 +33,14 @@ def ingest(papers: DataFrame, records: DataFrame, rules: dict[str, Column], clea
     external id, title, DOI and references counts. A record that shares a key with a stored paper is merged into it, the others get ids after
     the largest. References that name a stored or new paper become edges, once each and not to itself.
     """
-    ok = None
+    ok = F.lit(True)
     for rule in rules.values():
-        ok = rule if ok is None else ok & rule
+        ok = ok & F.coalesce(rule, F.lit(False))
     r = materialize(records.withColumn("record", F.xxhash64(F.coalesce("external_id", F.lit("")), F.coalesce("title", F.lit("")), F.coalesce("doi", F.lit("")))), "ingest-records")
     broken = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), None).otherwise(F.lit(n)) for n, c in rules.items()]))
     rejected = r.select("record", F.explode(broken).alias("rule")).distinct()
     key = identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))[0]
-    valid = r.where(F.coalesce(ok, F.lit(True))).withColumn("key", key).where("key is not null")
+    valid = r.where(ok).withColumn("key", key).where("key is not null")
     first = materialize(valid.groupBy("key").agg(F.min_by(F.struct("record", "external_id", "doi", "title", "references"), F.struct("external_id", "title", "doi", F.array_join("references", "|").alias("refs"), "record")).alias("x")).select("x.*"), "ingest-valid")
     met = materialize(identity_lookup(first, "record", papers.select("id", "external_id", "doi", "title"), "id").select("record", F.col("target").alias("id")), "ingest-matches")
     merged = met.where("id is not null").select("id", "record")
