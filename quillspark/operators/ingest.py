@@ -30,7 +30,7 @@ def ingest(papers: DataFrame, records: DataFrame, rules: dict[str, Column], clea
     """Tables new (id, record), merged (id, record), rejected (record, rule), edges (source, target) and counts (what, n).
 
     Records (external_id, doi, title, references, ...) are validated; of valid ones with the same strongest key the first by
-    external id, title, DOI and references counts. A record that shares a key with a stored paper is merged into it, the others get ids after
+    external id, title and DOI counts, and the references of all. A record that shares a key with a stored paper is merged into it, the others get ids after
     the largest. References that name a stored or new paper become edges, once each and not to itself.
     """
     ok = F.lit(True)
@@ -41,7 +41,8 @@ def ingest(papers: DataFrame, records: DataFrame, rules: dict[str, Column], clea
     rejected = r.select("record", F.explode(broken).alias("rule")).distinct()
     key = identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))[0]
     valid = r.where(ok).withColumn("key", key).where("key is not null")
-    first = materialize(valid.groupBy("key").agg(F.min_by(F.struct("record", "external_id", "doi", "title", "references"), F.struct("external_id", "title", "doi", F.array_join("references", "|").alias("refs"), "record")).alias("x")).select("x.*"), "ingest-valid")
+    order = F.struct("external_id", "title", "doi", "record")
+    first = materialize(valid.groupBy("key").agg(F.min_by(F.struct("record", "external_id", "doi", "title"), order).alias("x")).select("key", "x.*"), "ingest-valid")
     met = materialize(identity_lookup(first, "record", papers.select("id", "external_id", "doi", "title"), "id").select("record", F.col("target").alias("id")), "ingest-matches")
     merged = met.where("id is not null").select("id", "record")
     last = papers.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
@@ -49,7 +50,8 @@ def ingest(papers: DataFrame, records: DataFrame, rules: dict[str, Column], clea
     ids = materialize(fresh.unionByName(merged), "ingest-ids")
     named = papers.select(F.col("id"), clean(F.col("external_id")).alias("ref")).unionByName(first.join(ids, "record").select("id", clean(F.col("external_id")).alias("ref"))).where("ref <> ''")
     named = named.groupBy("ref").agg(F.min("id").alias("target"))
-    refs = first.join(ids, "record").select(F.col("id").alias("source"), F.explode("references").alias("ref")).select("source", clean(F.col("ref")).alias("ref")).where("ref <> ''").distinct()
+    every = valid.select("key", F.explode("references").alias("ref")).distinct()
+    refs = every.join(first.select("key", "record"), "key").join(ids, "record").select(F.col("id").alias("source"), "ref").select("source", clean(F.col("ref")).alias("ref")).where("ref <> ''").distinct()
     edges = materialize(refs.join(named, "ref").where("source <> target").select("source", "target").distinct(), "ingest-edges")
     count = lambda df, what: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(what).alias("what"), "n")
     counts = count(r, "records").unionByName(count(rejected.select("record").distinct(), "rejected")).unionByName(count(fresh, "inserted")).unionByName(count(merged, "merged")).unionByName(count(edges, "edges"))

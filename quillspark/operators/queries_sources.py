@@ -193,7 +193,7 @@ SQL = {
     "manifest_round_trip": "SELECT 'second set!' AS name, count(*) AS rows, count(doi) AS dois, 5 AS inserted, 2 AS skipped, 1 AS errors, 2 AS warnings FROM papers",
     "cached_scores": "SELECT CASE WHEN id % 2 = 0 THEN 1 ELSE 2 END AS run, count(*) AS n, sum(length(coalesce(title, '')))::BIGINT AS total FROM papers GROUP BY 1",
     "catalogue_works": "SELECT year, count(*) AS n, sum(length(trim(regexp_replace(regexp_replace(abstract, '[^ -~]', '?', 'g'), '\\s+', ' ', 'g'))))::BIGINT AS letters, sum(coalesce(len(list_distinct(list_filter(list_transform(categories, lambda c: lower(trim(c))), lambda c: c <> ''))), 0))::BIGINT AS categories FROM sample_papers WHERE trim(title) <> '' AND trim(abstract) <> '' AND year BETWEEN 2000 AND 2024 AND citation_count >= 1 GROUP BY 1",
-    "ingested_counts": f"WITH r AS (SELECT external_id, doi, title, reference_ids AS refs, length(trim(title)) >= 3 AND length(trim(abstract)) >= 20 AS ok FROM sample_papers), v AS (SELECT *, {_KEY} AS key FROM r WHERE coalesce(ok, false)), f AS (SELECT * FROM v WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY external_id NULLS FIRST, title NULLS FIRST, doi NULLS FIRST, array_to_string(refs, '|') NULLS FIRST) = 1), pk AS (SELECT id, {_KEYS('papers')} AS ks FROM papers), pu AS (SELECT id, unnest(ks) AS k FROM pk), pt AS (SELECT k, min(id) AS target FROM pu GROUP BY 1), fk AS (SELECT key, unnest({_KEYS('f')}) AS k, unnest([1, 2, 3]) AS s FROM f), m AS (SELECT key, arg_min(target, s) AS target FROM fk JOIN pt USING (k) GROUP BY 1), ids AS (SELECT f.*, m.target, coalesce(m.target::VARCHAR, 'n' || f.key) AS id FROM f LEFT JOIN m USING (key)), named AS (SELECT ref, arg_min(id, (o, id)) AS id FROM (SELECT {_NORMAL.format('external_id')} AS ref, id::VARCHAR AS id, 0 AS o FROM papers UNION ALL SELECT {_NORMAL.format('external_id')}, id, CASE WHEN target IS NULL THEN 1 ELSE 0 END FROM ids) WHERE ref <> '' GROUP BY 1), e AS (SELECT DISTINCT x.id AS a, n.id AS b FROM (SELECT id, {_NORMAL.format('u')} AS ref FROM (SELECT id, unnest(refs) AS u FROM ids)) x JOIN named n ON n.ref = x.ref WHERE x.ref <> '' AND x.id <> n.id) SELECT 'records' AS what, count(*) AS n FROM r UNION ALL SELECT 'rejected', count(DISTINCT (coalesce(external_id, ''), coalesce(title, ''), coalesce(doi, ''))) FROM r WHERE NOT coalesce(ok, false) UNION ALL SELECT 'inserted', count(*) FROM ids WHERE target IS NULL UNION ALL SELECT 'merged', count(*) FROM ids WHERE target IS NOT NULL UNION ALL SELECT 'edges', count(*) FROM e",
+    "ingested_counts": f"WITH r AS (SELECT external_id, doi, title, reference_ids AS refs, length(trim(title)) >= 3 AND length(trim(abstract)) >= 20 AS ok FROM sample_papers), v AS (SELECT *, {_KEY} AS key FROM r WHERE coalesce(ok, false)), f AS (SELECT * FROM v WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY external_id NULLS FIRST, title NULLS FIRST, doi NULLS FIRST) = 1), pk AS (SELECT id, {_KEYS('papers')} AS ks FROM papers), pu AS (SELECT id, unnest(ks) AS k FROM pk), pt AS (SELECT k, min(id) AS target FROM pu GROUP BY 1), fk AS (SELECT key, unnest({_KEYS('f')}) AS k, unnest([1, 2, 3]) AS s FROM f), m AS (SELECT key, arg_min(target, s) AS target FROM fk JOIN pt USING (k) GROUP BY 1), ids AS (SELECT f.*, m.target, coalesce(m.target::VARCHAR, 'n' || f.key) AS id FROM f LEFT JOIN m USING (key)), named AS (SELECT ref, arg_min(id, (o, id)) AS id FROM (SELECT {_NORMAL.format('external_id')} AS ref, id::VARCHAR AS id, 0 AS o FROM papers UNION ALL SELECT {_NORMAL.format('external_id')}, id, CASE WHEN target IS NULL THEN 1 ELSE 0 END FROM ids) WHERE ref <> '' GROUP BY 1), e AS (SELECT DISTINCT x.id AS a, n.id AS b FROM (SELECT id, {_NORMAL.format('u')} AS ref FROM (SELECT ids.id, unnest(v.refs) AS u FROM ids JOIN v USING (key))) x JOIN named n ON n.ref = x.ref WHERE x.ref <> '' AND x.id <> n.id) SELECT 'records' AS what, count(*) AS n FROM r UNION ALL SELECT 'rejected', count(DISTINCT (coalesce(external_id, ''), coalesce(title, ''), coalesce(doi, ''))) FROM r WHERE NOT coalesce(ok, false) UNION ALL SELECT 'inserted', count(*) FROM ids WHERE target IS NULL UNION ALL SELECT 'merged', count(*) FROM ids WHERE target IS NOT NULL UNION ALL SELECT 'edges', count(*) FROM e",
     "source_upserts": "WITH s AS (SELECT id, source, external_id AS key, url, NULL AS body FROM papers WHERE source IS NOT NULL), n AS (SELECT id, source, CASE WHEN id % 2 = 0 THEN external_id ELSE 'other' END AS key FROM papers WHERE source IS NOT NULL AND id % 3 = 0), u AS (SELECT coalesce(s.source, n.source) AS source, s.url, CASE WHEN n.id IS NOT NULL THEN '{}' END AS body FROM s FULL JOIN n ON s.id = n.id AND s.source = n.source AND s.key = n.key) SELECT source, count(*) AS n, count(url) AS urls, count(body) AS bodies FROM u GROUP BY 1",
     "missing_identifiers": f"SELECT 'doi' AS kind, count(*) AS n FROM (SELECT DISTINCT id, {_DOI} AS v FROM papers WHERE id % 2 <> 0) WHERE v IS NOT NULL UNION ALL SELECT 'external', count(*) FROM (SELECT DISTINCT id, nullif(lower(trim(external_id)), '') AS v FROM papers) WHERE v IS NOT NULL",
     "dataset_state": "SELECT count(*) AS papers, sum((trim(coalesce(abstract, '')) <> '')::INT) AS with_abstract, count(DISTINCT source) AS sources, min(year) AS first_year, max(year) AS last_year, max(updated_at) AS updated, (SELECT count(*) FROM citation_edges) AS edges, count(*) > 0 AS ready FROM papers",

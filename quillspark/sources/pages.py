@@ -90,7 +90,7 @@ class SqliteReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         lo, hi = next(self._ask(f'SELECT coalesce(min(rowid), 0), coalesce(max(rowid), -1) FROM "{self.table}"'))
         step = max(1, -(-(hi - lo + 1) // self.parts))
-        return [InputPartition((a, min(a + step - 1, hi))) for a in range(lo, hi + 1, step)]
+        return [InputPartition((a, min(a + step - 1, hi))) for a in range(lo, max(hi, lo) + 1, step)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         cols = ", ".join(f'"{c}"' for c in self.columns)

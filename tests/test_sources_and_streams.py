@@ -58,7 +58,12 @@ def test_streams(spark, tmp_path):
     assert {(r["user"], r["list"], tuple(r["items"])) for r in spark.table("profiles").collect()} == {(1, "saved", (5, 6)), (2, "too_hard", (1,))}
     u = I.upsert_stream(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), ["user"], ["ts"], str(tmp_path / "ck"))
     u.awaitTermination(60)
-    assert {(r["user"], r["item"]) for r in spark.read.parquet(str(tmp_path / "out" / "v0")).collect()} == {(1, 6), (2, 1)}
-    static = spark.read.parquet(src)
+    assert {(r["user"], r["item"]) for r in I.current(spark, str(tmp_path / "out")).collect()} == {(1, 6), (2, 1)}
+    for day, item in (("02", 7), ("03", 8)):  # only the shard of user 1 is written anew, and old versions go
+        spark.createDataFrame([(1, item, "save", f"2024-01-{day} 00:00:00")], "user int, item int, action string, ts string").selectExpr("user", "item", "action", "timestamp(ts) AS ts").coalesce(1).write.mode("append").parquet(src)
+        I.upsert_stream(spark.readStream.schema(schema).parquet(src), str(tmp_path / "out"), ["user"], ["ts"], str(tmp_path / "ck")).awaitTermination(60)
+    assert {(r["user"], r["item"]) for r in I.current(spark, str(tmp_path / "out")).collect()} == {(1, 8), (2, 1)}
+    assert sum(p.is_dir() for p in (tmp_path / "out").glob("_shard=*/v=*")) == 3
+    static = spark.read.parquet(src).where("ts < timestamp '2024-01-02 00:00:00'")
     assert I.windowed_counts(static).count() == 3 and I.session_counts(static).count() == 3
     assert I.newer_than(static, "ts", "2024-01-01 00:15:00").count() == 2 and I.newer_than(static, "ts", None).count() == 3
