@@ -6,10 +6,11 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm.metric_join import radius_pairs
+from quillspark.operators.joins import skew_join
 from quillspark.runtime import materialize, ship_package
 
 #: Academic titles, parts that belong to a family name, and small words of organisation names.
@@ -234,6 +235,8 @@ def variant_pairs(df: DataFrame, column: str) -> DataFrame:
 
 
 def entity_classes(df: DataFrame, column: str) -> DataFrame:
-    """(name, entity_name, spellings): every spelling, the smallest spelling of its entity, and how many it has."""
-    every = Window.partitionBy("entity")
-    return entities(df, column).select("name", F.min("name").over(every).alias("entity_name"), F.count(F.lit(1)).over(every).alias("spellings"))
+    """(name, entity_name, spellings): every spelling, the smallest spelling of its entity, and how many it has. Counted by an
+    aggregation that combines before its shuffle and joined back, so no entity's spellings are gathered."""
+    known = materialize(entities(df, column), "name-entities")
+    by = known.groupBy("entity").agg(F.min("name").alias("entity_name"), F.count(F.lit(1)).alias("spellings"))
+    return skew_join(known, by, "entity", "inner").select("name", "entity_name", "spellings")

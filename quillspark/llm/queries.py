@@ -9,7 +9,7 @@ from quillspark.llm.contamination import contaminated
 from quillspark.llm.grouped_splits import assign_splits, linked_rows, torn_groups
 from quillspark.llm.languages import document_languages, document_segments, fit_models, unnamed_languages
 from quillspark.llm.matching import assign_one_to_one, match_records
-from quillspark.llm.names import variant_pairs
+from quillspark.llm.names import entity_classes, variant_pairs
 from quillspark.llm.near_duplicates import near_duplicate_classes, near_duplicate_pairs
 from quillspark.llm.oracle import SQL  # noqa: F401
 from quillspark.llm.overlap import cross_split_overlaps, overlap_report, split_name
@@ -93,6 +93,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return variant_pairs(load(spark, d, "papers").select("authors"), "authors")
 
 
+def p2_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every spelling with the smallest spelling of its person or organisation, and how many it has."""
+    return entity_classes(load(spark, d, "papers").select("authors"), "authors")
+
+
 def _matches(spark: SparkSession, d: str) -> DataFrame:
     papers = load(spark, d, "papers").select("id", "title", F.array_join("authors", "; ").alias("authors"), "year", "doi")
     records = load(spark, d, "harvest_records").select(F.col("record_id").alias("id"), "title", "authors", "year", "doi")
@@ -107,4 +112,4 @@ def p5_assigned(spark: SparkSession, d: str) -> DataFrame:
     return assign_one_to_one(_matches(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p3_found, p3_classes, p4_found, p4_splits, p5_found, p5_assigned, p6_found, p8_ids, p9_found, p10_found, p10_segments, p10_languages)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_classes, p3_found, p3_classes, p4_found, p4_splits, p5_found, p5_assigned, p6_found, p8_ids, p9_found, p10_found, p10_segments, p10_languages)}
