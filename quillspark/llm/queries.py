@@ -16,7 +16,7 @@ from quillspark.llm.overlap import cross_split_overlaps, overlap_report, split_n
 from quillspark.llm.tokens import encode_corpus
 from quillspark.llm.vectors import nearest
 from quillspark.operators.joins import skew_join
-from quillspark.runtime import load, materialize
+from quillspark.runtime import load, materialize, spread
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -67,7 +67,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return encode_corpus(load(spark, d, "documents").select("doc_id", "text")).select("doc_id", "ids")
+    return encode_corpus(spread(load(spark, d, "documents").select("doc_id", "text"))).select("doc_id", "ids")
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
@@ -75,17 +75,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "lang"))
     return unnamed_languages(docs, "doc_id", "text", "lang", fit_models(docs, "doc_id", "text", "lang"))
 
 
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "lang"))
     return document_segments(docs, "doc_id", "text", fit_models(docs, "doc_id", "text", "lang")).withColumnRenamed("key", "doc_id")
 
 
 def p10_languages(spark: SparkSession, d: str) -> DataFrame:
-    docs = load(spark, d, "documents").select("doc_id", "text", "lang")
+    docs = spread(load(spark, d, "documents").select("doc_id", "text", "lang"))
     return document_languages(docs, "doc_id", "text", fit_models(docs, "doc_id", "text", "lang"))
 
 
