@@ -38,6 +38,19 @@ n AS (SELECT id, count(*) AS n FROM g GROUP BY 1),
 met AS (SELECT a.id AS a, b.id AS b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.id < b.id GROUP BY 1, 2)
 SELECT a AS paper_id_a, b AS paper_id_b FROM met JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * c >= x.n + y.n - c
 """
+_P3_CLASSES = f"""
+WITH RECURSIVE t AS (SELECT id, coalesce(title, '') || ' ' || coalesce(abstract, '') AS x FROM papers WHERE id IS NOT NULL),
+reps AS (SELECT x, min(id) AS rep FROM t GROUP BY 1),
+w AS (SELECT rep, {_words('x')} AS words FROM reps),
+g AS (SELECT rep, unnest({_grams('words', 5)}) AS t FROM w),
+n AS (SELECT rep, count(*) AS n FROM g GROUP BY 1),
+met AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM g a JOIN g b ON a.t = b.t AND a.rep <> b.rep GROUP BY 1, 2),
+near AS (SELECT a, b FROM met JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach(a, b) AS (SELECT rep, rep FROM reps UNION SELECT reach.a, near.b FROM reach JOIN near ON near.a = reach.b),
+classes AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY 1),
+degree AS (SELECT a AS rep, count(*) AS links FROM near GROUP BY 1)
+SELECT t.id, class_id, coalesce(links, 0) AS links FROM t JOIN reps USING (x) JOIN classes USING (rep) LEFT JOIN degree USING (rep)
+"""
 _P4 = f"""
 WITH RECURSIVE r AS (SELECT DISTINCT example_id AS id, query_paper_id, lower(trim(query_id)) AS q, {_SPLIT} AS s FROM training_examples WHERE example_id IS NOT NULL),
 keys AS (SELECT id, 'p' || query_paper_id AS k FROM r WHERE query_paper_id IS NOT NULL UNION SELECT id, 'q' || q FROM r WHERE q IN (SELECT lower(trim(query_id)) FROM manual_queries)),
@@ -67,6 +80,7 @@ SQL = {
     "p1_found": _P1 + "SELECT DISTINCT least(train_id, eval_id) AS example_id_a, greatest(train_id, eval_id) AS example_id_b FROM pairs",
     "p1_report": _P1 + "SELECT eval_split, source, count(DISTINCT eval_id) AS eval_rows, count(DISTINCT train_id) AS train_rows, count(DISTINCT (train_id, eval_id)) AS pairs, round(max(contained), 6) AS most_contained FROM pairs GROUP BY 1, 2",
     "p3_found": _P3,
+    "p3_classes": _P3_CLASSES,
     "p4_found": _P4,
     "p6_found": _P6,
     "p9_found": _P9,
