@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.operators.joins import skew_join
-from quillspark.runtime import materialize, ship_package, spread
+from quillspark.runtime import materialize, release, ship_package, spread
 
 #: The tree is fitted on a tenth of the rows, chosen by hash, but on no fewer than the first and no more than the second of
 #: these numbers; every row is indexed.
@@ -23,6 +24,8 @@ BRANCH = 12
 #: Largest block of a leaf, and of the queries that meet it, in one task.
 BLOCK = 4096
 QUERY_BLOCK = 1 << 16
+#: Bytes of vectors that one round of the search shuffles; a bound on the disk that it takes beside its tables.
+ROUND_BYTES = 64 << 20
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -167,6 +170,7 @@ def nearest(df: DataFrame, key: str, vector: str, size: int, k: int = 10, recall
         found = _search(reps, n, size, k, recall)
     else:
         found = spark.createDataFrame([], "vid bigint, other bigint, similarity double")
+    release(reps)
     own = heads.select("vid", F.explode("ids").alias("id"), F.lit(1.0).alias("similarity"))
     others = found.join(heads.withColumnRenamed("vid", "other"), "other").select("vid", F.explode("ids").alias("id"), "similarity")
     first = Window.partitionBy("vid").orderBy(F.desc("similarity"), "id")
@@ -233,44 +237,149 @@ def _search(reps: DataFrame, n: int, size: int, k: int, recall: float) -> DataFr
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(tree.value.assign(unit).astype(np.int32)), lists], ["vid", "vec", "leaf", "seen"])
 
     routed = materialize(spread(reps.select("vid", "vec")).mapInArrow(route, "vid bigint, vec array<float>, leaf int, seen array<int>"), "vector-routes")
-    rows = routed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("by_row"))
-    met = routed.select(F.explode("seen").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("by_query"))
-    blocks = F.broadcast(materialize(rows.join(met, "leaf"), "leaf-blocks"))  # no more rows than the tree has leaves
-    salt = F.pmod(F.xxhash64("vid", F.lit(11)), F.lit(1 << 30))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cell = lambda row, query: (F.shiftleft(F.col("leaf").cast("bigint"), 40) + F.shiftleft(row.cast("bigint"), 20) + query.cast("bigint")).alias("cell")
-    # a leaf row goes to its block, once for each block of queries; a query to every block of the leaf's rows, in its own block
-    leaf_rows = routed.select("leaf", "vid", "vec").join(blocks, "leaf").select("*", every("by_query").alias("turn"))
-    leaf_rows = leaf_rows.select(cell(F.pmod(salt, F.col("by_row")), F.col("turn")), F.lit(0).alias("kind"), "vid", "vec")
-    queries = routed.select(F.explode("seen").alias("leaf"), "vid", "vec").join(blocks, "leaf").select("*", every("by_row").alias("turn"))
-    queries = queries.select(cell(F.col("turn"), F.pmod(salt, F.col("by_query"))), F.lit(1).alias("kind"), "vid", "vec")
+    held = np.zeros(tree.value.leaves, np.int64)
+    for r in routed.groupBy("leaf").count().collect():  # no more rows than the tree has leaves
+        held[r["leaf"]] = r["count"]
+    group, by_row = _leaf_groups(held)
+    shape = sc.broadcast((group, by_row))
+
+    def meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, _ = shape.value
+        n = np.zeros(len(by_row), np.int64)
+        for b in batches:
+            n += np.bincount(_queries(_matrix(b.column(0)), group)[1], minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], ["grp", "n"])
+
+    met = np.zeros(len(by_row), np.int64)
+    for r in routed.select("seen").mapInArrow(meetings, "grp bigint, n bigint").groupBy("grp").agg(F.sum("n").alias("n")).collect():
+        met[r["grp"]] = r["n"]
+    by_query = np.maximum(1, -(-met // QUERY_BLOCK))
+    rows_in = np.bincount(group, weights=held, minlength=len(by_row))
+    load = (rows_in * by_query + met * by_row) * 4 * size  # bytes that each group of leaves makes shuffle
+    rounds = int(max(1, min(-(-load.sum() // ROUND_BYTES), 2 * -(-load.sum() // (n * 4 * size)))))  # each round shuffles about half the vectors
+    turn_of = (np.cumsum(load) - load) // max(1, load.sum() / rounds)
+    cells = sc.broadcast((group, by_row, by_query, np.minimum(turn_of, rounds - 1).astype(np.int64)))
+
+    def deal(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Rows (cell, kind, leaf, vid, vec, leaves) of one round: a leaf row goes to its block of the group, once for each
+            block of queries; a query once to every block of the rows of a group that it visits, with its leaves there."""
+            group, by_row, by_query, turns = cells.value
+            for b in batches:
+                vid, leaf, salt = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 2, 4))
+                at = np.flatnonzero(turns[group[leaf]] == turn)
+                own, copy = _copies(at, by_query[group[leaf[at]]])
+                g = group[leaf[own]]
+                cell = (g << 40) + (salt[own] % by_row[g] << 20) + copy
+                if len(own):
+                    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(own) + 1, np.int32)), pa.array([], pa.int32()))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.zeros(len(own), np.int32)), pa.array(leaf[own]), pa.array(vid[own]), b.column(1).take(pa.array(own)), none], DEALT)
+                row, g, start, leaves = _queries(_matrix(b.column(3)), group)
+                keep = np.flatnonzero(turns[g] == turn)
+                pick, copy = _copies(keep, by_row[g[keep]])
+                if len(pick):
+                    cell = (g[pick] << 40) + (copy << 20) + salt[row[pick]] % by_query[g[pick]]
+                    own, sizes = row[pick], (start[1:] - start[:-1])[pick]
+                    ends = np.r_[0, np.cumsum(sizes)]
+                    flat = leaves[np.repeat(start[pick] - ends[:-1], sizes) + np.arange(ends[-1])]
+                    lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(np.ones(len(own), np.int32)), pa.array(np.full(len(own), -1, np.int32)), pa.array(vid[own]), b.column(1).take(pa.array(own)), lists], DEALT)
+
+        return run
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted by cell, kind and id: one block of leaf rows is held, queries stream past it."""
-        now, ids, rows, fresh = None, [], [], True
+        """Rows come sorted by cell, kind, leaf and id: one block of leaf rows is held, queries stream past it and meet the
+        leaves that they visit; the k best of the cell go on."""
+        now, held, fresh, ids, rows, ends = None, [], True, None, None, {}
         for b in batches:
-            cell, kind, vid = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
-            x = _unit(_matrix(b.column(3)))
+            cell, kind, leaf, vid = (b.column(c).to_numpy(zero_copy_only=False) for c in range(4))
+            x = _unit(_matrix(b.column(4)))
+            seen, ends_of = b.column(5), b.column(5).offsets.to_numpy()
+            seen = seen.values.to_numpy(zero_copy_only=False)
             cuts = np.r_[0, np.flatnonzero((cell[1:] != cell[:-1]) | (kind[1:] != kind[:-1])) + 1, len(cell)]
             for lo, hi in zip(cuts[:-1], cuts[1:]):
                 if cell[lo] != now:
-                    now, ids, rows, fresh = cell[lo], [], [], True
+                    now, held, fresh = cell[lo], [], True
                 if kind[lo] == 0:
-                    ids.append(vid[lo:hi]), rows.append(x[lo:hi])
-                    fresh = True
+                    held.append((leaf[lo:hi], vid[lo:hi], x[lo:hi]))
                     continue
-                if not rows:
+                if not held:
                     continue
                 if fresh:
-                    ids, rows, fresh = [np.concatenate(ids)], [np.concatenate(rows)], False
-                for s in range(lo, hi, 512):
-                    e = min(hi, s + 512)
-                    sims = x[s:e] @ rows[0].T
-                    sims[vid[s:e, None] == ids[0][None, :]] = -np.inf
-                    best, other = _top(sims, ids[0], k)
-                    ok = best.ravel() > -np.inf
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(vid[s:e], best.shape[1])[ok]), pa.array(other.ravel()[ok]), pa.array(best.ravel()[ok])], ["vid", "other", "similarity"])
-
-    near = leaf_rows.unionByName(queries).repartition("cell").sortWithinPartitions("cell", "kind", "vid").mapInArrow(compare, "vid bigint, other bigint, similarity double")
+                    of, ids, rows = (np.concatenate(c) for c in zip(*held))
+                    held, fresh = [True], False
+                    edge = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+                    ends = {int(of[s]): (s, e) for s, e in zip(edge[:-1], edge[1:])}
+                who = np.repeat(np.arange(lo, hi), np.diff(ends_of[lo : hi + 1]))
+                where = seen[ends_of[lo] : ends_of[hi]]
+                got = []
+                for one in np.unique(where):
+                    if int(one) not in ends:
+                        continue
+                    s, e = ends[int(one)]
+                    mine = who[where == one]
+                    for f in range(0, len(mine), 512):
+                        q = mine[f : f + 512]
+                        sims = x[q] @ rows[s:e].T
+                        sims[vid[q, None] == ids[None, s:e]] = -np.inf
+                        best, other = _top(sims, ids[s:e], k)
+                        ok = best.ravel() > -np.inf
+                        got.append((np.repeat(vid[q], best.shape[1])[ok], other.ravel()[ok], best.ravel()[ok]))
+                if got:
+                    v, o, s = (np.concatenate(c) for c in zip(*got))
+                    order = np.lexsort((o, -s, v))
+                    v, o, s = v[order], o[order], s[order]
+                    first = np.r_[True, v[1:] != v[:-1]]
+                    keep = np.arange(len(v)) - np.flatnonzero(first)[np.cumsum(first) - 1] < k
+                    yield pa.RecordBatch.from_arrays([pa.array(v[keep]), pa.array(o[keep]), pa.array(s[keep])], ["vid", "other", "similarity"])
+
+    salted = routed.withColumn("salt", F.pmod(F.xxhash64("vid", F.lit(11)), F.lit(1 << 30)))
+    kinds = "cell bigint, kind int, leaf int, vid bigint, vec array<float>, leaves array<int>"
+    near = []
+    for turn in range(rounds):
+        dealt = salted.mapInArrow(deal(turn), kinds).repartition(_tasks(reps), "cell").sortWithinPartitions("cell", "kind", "leaf", "vid")
+        near.append(materialize(dealt.mapInArrow(compare, "vid bigint, other bigint, similarity double"), "vector-near"))
+    release(routed)
     best = Window.partitionBy("vid").orderBy(F.desc("similarity"), "other")
-    return near.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("vid", "other", "similarity")
+    found = reduce(DataFrame.unionByName, near).withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("vid", "other", "similarity")
+    found = materialize(found, "vector-found")
+    for part in near:
+        release(part)
+    return found
+
+
+DEALT = ["cell", "kind", "leaf", "vid", "vec", "leaves"]
+
+
+def _tasks(df: DataFrame) -> int:
+    return max(12, df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _leaf_groups(held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The group of each leaf and the row blocks of each group: neighbouring leaves of up to BLOCK rows together, a larger one
+    alone. Leaves are numbered depth first, so neighbours lie near each other and a query visits few groups."""
+    group = np.zeros(len(held), np.int64)
+    totals = [0]
+    for i, rows in enumerate(held.tolist()):
+        if totals[-1] and totals[-1] + rows > BLOCK:
+            totals.append(0)
+        totals[-1] += rows
+        group[i] = len(totals) - 1
+    return group, np.maximum(1, -(-np.array(totals) // BLOCK))
+
+
+def _queries(seen: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, group, start, leaves): each row's visited groups, and where the leaves of each begin; start has one end more."""
+    row = np.repeat(np.arange(len(seen)), seen.shape[1])
+    leaf = seen.ravel().astype(np.int64)
+    order = np.lexsort((leaf, row))
+    row, leaf = row[order], leaf[order]
+    g = group[leaf]
+    first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (g[1:] != g[:-1])]) if len(row) else np.zeros(0, np.int64)
+    return row[first], g[first], np.r_[first, len(row)], leaf
+
+
+def _copies(at: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every element as often as told, with the number of the copy."""
+    ends = np.cumsum(times)
+    return np.repeat(at, times), np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - times, times)

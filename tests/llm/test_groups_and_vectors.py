@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from quillspark.llm import vectors
 from quillspark.llm.components import components
 from quillspark.llm.grouped_splits import assign_splits, linked_rows, torn_groups
 from quillspark.llm.vectors import Tree, nearest
@@ -103,3 +104,19 @@ def test_nearest(spark, monkeypatch):
 def test_nearest_of_few(spark, n):
     df = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(n)], "id bigint, v array<float>")
     assert nearest(df, "id", "v", 2, 3).count() == n * min(3, max(0, n - 1))
+
+
+def test_nearest_in_rounds(spark, monkeypatch):
+    """The search in many rounds gives the same rows as in one, and leaves no shuffle of all its copies on disk."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, rng.normal(size=8).tolist()) for i in range(400)], "id bigint, v array<float>").repartition(4)
+    monkeypatch.setattr("quillspark.llm.vectors.LEAF_ROWS", 10)
+    key = lambda: sorted((r["id"], r["place"], r["other"]) for r in nearest(df, "id", "v", 8, 5).collect())
+    whole = key()
+    turns = []
+    monkeypatch.setattr("quillspark.llm.vectors.ROUND_BYTES", 2_000)
+    monkeypatch.setattr("quillspark.llm.vectors.BLOCK", 32)
+    plain = vectors.materialize
+    monkeypatch.setattr(vectors, "materialize", lambda d, tag: turns.append(tag) or plain(d, tag))
+    assert key() == whole and len(whole) == 2000
+    assert turns.count("vector-near") > 2
