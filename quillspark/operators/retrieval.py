@@ -1,9 +1,10 @@
 """Lexical, dense and combined retrieval over a document table, for one query or a table of queries.
 
 Documents are rows (doc, text, ...) with a unique doc; queries are rows (query_id, query). Lexical scores are products of
-two sparse tables, weights of terms in documents and in queries. Where only the best k are wanted, :func:`best_products`
-multiplies blocks of documents with the broadcast queries and lets no more than the k best of each block leave the task;
-where every score is wanted, or the queries pass the broadcast bound, the same product is a join and a sum.
+two sparse tables, weights of terms in documents and in queries. :func:`best_products` and :func:`product_totals` add up the
+postings of each query's terms in blocks of documents, with the queries broadcast, and let no more than the k best of a
+query or its sums leave the task; where every score is wanted, or the queries pass the broadcast bound, the same product
+is a join and a sum.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.signals import HYBRID_WEIGHTS, document_signals, query_signals, weighted
@@ -29,8 +31,10 @@ STOP_WORDS = (
     "where which while who whom why will with would you your yours yourself yourselves"
 ).split()
 K1, B = 1.5, 0.75
-#: Documents and queries of one block of the product.
-BLOCK_DOCS, QUERY_ROWS = 2048, 1024
+#: Documents of one block of the product, and queries whose best leave a task together.
+BLOCK_DOCS, QUERY_ROWS = 16384, 1024
+#: A term that at least one in so many documents of a block has is kept as a full row of the block.
+FULL_ROW = 16
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -64,52 +68,120 @@ def best_products(parts: DataFrame, weights: DataFrame, k: int, bonus: str | Non
     scores. Sums are rounded to 9 places. The weights are broadcast under a size check, as is the work of a task bounded by
     blocks of documents and queries; beyond the bound the product is a join with a sum.
     """
-    rows = weights.count()
     extra = F.col(bonus) if bonus else F.lit(0.0)
-    if not small_enough(rows, 48):
+    if not small_enough(weights.count(), 48):
         plain = parts.select("doc", "term", "x", extra.alias("_bonus")).join(weights, "term")
         full = plain.groupBy("query_id", "doc").agg((F.round(F.sum(F.col("x") * F.col("w")), 9) + F.first("_bonus")).alias("score"))
         return top_k(full, "query_id", k).drop("rank")
-    table = weights.toArrow().to_pandas()
-    terms, term_of = np.unique(table["term"].to_numpy(), return_inverse=True)
-    names, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
-    session = parts.sparkSession
-    shared = session.sparkContext.broadcast((term_of.astype(np.int32), query_of.astype(np.int32), table["w"].to_numpy(np.float64)))
-    kind = dict(parts.dtypes)["term"]
-    numbers = session.createDataFrame([(t.item() if hasattr(t, "item") else t, i) for i, t in enumerate(terms)], f"term {kind}, t int")
-    own = parts.join(F.broadcast(numbers), "term").select("doc", "t", "x", extra.cast("double").alias("bonus"))
-    n_terms, n_queries = len(terms), len(names)
+    own, shared, back = _sides(parts, weights, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        term, query, w = shared.value
-        cuts = np.searchsorted(np.sort(query), np.arange(0, n_queries + QUERY_ROWS, QUERY_ROWS))
-        order = np.argsort(query, kind="stable")
-        bar = np.full(n_queries, -np.inf)  # a score below it is not among the k best of this task
-        for docs, t, x, more in _document_blocks(batches):
-            ids, row, first = _numbered(docs)
-            left = np.zeros((len(ids), n_terms))
-            left[row, t] = x
-            plus = more[first]
-            for c in range(len(cuts) - 1):
-                at = order[cuts[c] : cuts[c + 1]]
+        starts = shared.value[0]
+        n = len(starts) - 1
+        held: list[tuple[np.ndarray, np.ndarray] | None] = [None] * n
+        bar = np.full(n, -np.inf)  # a score below it is not among the k best of this task
+        for ids, plus, scores in _products(batches, shared.value):
+            for q, s in scores:
+                v = s + plus if bonus else s
+                at = np.flatnonzero((v >= bar[q] - 1e-8) & (s > 0))
                 if not len(at):
                     continue
-                lo, width = c * QUERY_ROWS, min(QUERY_ROWS, n_queries - c * QUERY_ROWS)
-                right = np.zeros((n_terms, width))
-                right[term[at], query[at] - lo] = w[at]
-                s = np.round(left @ right, 9).T
-                s = np.where(s > 0, s + plus[None, :], -np.inf)
-                if s.shape[1] > k:
-                    kth = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                    bar[lo : lo + width] = np.maximum(bar[lo : lo + width], kth)
-                q, j = np.nonzero((s >= bar[lo : lo + width, None]) & (s > -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array((q + lo).astype(np.int32)), pa.array(ids[j]), pa.array(s[q, j])], ["q", "doc", "score"])
-
-    near = own.repartition("doc").sortWithinPartitions("doc").mapInArrow(run, "q int, doc bigint, score double")
-    back = session.createDataFrame([(i, str(n)) for i, n in enumerate(names)], "q int, query_id string") if dict(weights.dtypes)["query_id"] == "string" else session.createDataFrame([(i, int(n)) for i, n in enumerate(names)], "q int, query_id bigint")
+                if len(at) > k:
+                    u = v[at]
+                    at = at[u >= np.partition(u, len(u) - k)[len(u) - k] - 1e-8]
+                doc, got = ids[at], np.round(s[at], 9) + plus[at]
+                if held[q] is not None:
+                    doc, got = np.r_[held[q][0], doc], np.r_[held[q][1], got]
+                if len(doc) > k:
+                    first = np.lexsort((doc, -got))[:k]
+                    doc, got = doc[first], got[first]
+                held[q] = (doc, got)
+                if len(doc) == k:
+                    bar[q] = got.min()
+        for lo in range(0, n, QUERY_ROWS):
+            some = [(q, h) for q, h in enumerate(held[lo : lo + QUERY_ROWS], lo) if h is not None]
+            if some:
+                q = np.repeat(np.array([x for x, _ in some], np.int32), [len(h[0]) for _, h in some])
+                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.concatenate([h[0] for _, h in some])), pa.array(np.concatenate([h[1] for _, h in some]))], ["q", "doc", "score"])
+
+    near = own.mapInArrow(run, "q int, doc bigint, score double")
     return top_k(near, "q", k).join(F.broadcast(back), "q").select("query_id", "doc", "score")
 
 
+def product_totals(parts: DataFrame, weights: DataFrame) -> DataFrame:
+    """(query_id, hits, total): how many documents share a term with each query, and the sum of their scores, each rounded to 9
+    places. Sides as in :func:`best_products`; no pair of query and document leaves its task."""
+    if not small_enough(weights.count(), 48):
+        full = parts.join(weights, "term").groupBy("query_id", "doc").agg(F.round(F.sum(F.col("x") * F.col("w")), 9).alias("score"))
+        return full.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.sum("score").alias("total"))
+    own, shared, back = _sides(parts, weights, F.lit(0.0))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(shared.value[0]) - 1
+        hits, total = np.zeros(n, np.int64), np.zeros(n)
+        for _, _, scores in _products(batches, shared.value):
+            for q, s in scores:
+                hits[q] += np.count_nonzero(s)
+                total[q] += np.round(s, 9).sum()
+        some = np.flatnonzero(hits)
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(hits[some]), pa.array(total[some])], ["q", "hits", "total"])
+
+    sums = own.mapInArrow(run, "q int, hits bigint, total double").groupBy("q").agg(F.sum("hits").alias("hits"), F.sum("total").alias("total"))
+    return sums.join(F.broadcast(back), "q").select("query_id", "hits", "total")
+
+
+def _sides(parts: DataFrame, weights: DataFrame, extra: Column) -> tuple[DataFrame, Broadcast, DataFrame]:
+    """Postings (doc, t, x, bonus) of the query terms, sorted by document in as many partitions as there are cores; the broadcast
+    queries: starts, terms and weights, with the number of terms; and (q, query_id)."""
+    session = parts.sparkSession
+    table = weights.toArrow().to_pandas()
+    terms, term_of = np.unique(table["term"].to_numpy(), return_inverse=True)
+    names, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    order = np.argsort(query_of, kind="stable")
+    starts = np.searchsorted(query_of[order], np.arange(len(names) + 1))
+    shared = session.sparkContext.broadcast((starts, term_of[order].astype(np.int64), table["w"].to_numpy(np.float64)[order], len(terms)))
+    kinds = dict(parts.dtypes)["term"], dict(weights.dtypes)["query_id"]
+    numbers = session.createDataFrame([(t.item() if hasattr(t, "item") else t, i) for i, t in enumerate(terms)], f"term {kinds[0]}, t int")
+    own = parts.join(F.broadcast(numbers), "term").select("doc", "t", "x", extra.cast("double").alias("bonus"))
+    back = session.createDataFrame([(i, str(n) if kinds[1] == "string" else int(n)) for i, n in enumerate(names)], f"q int, query_id {kinds[1]}")
+    return own.repartition(max(12, session.sparkContext.defaultParallelism), "doc").sortWithinPartitions("doc"), shared, back
+
+
+def _products(batches: Iterator[pa.RecordBatch], queries: tuple) -> Iterator[tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]]:
+    """For each block of documents their ids, what is added to their scores, and (query, scores of all its documents) of each
+    query with a posting there. The scores are valid until the next query."""
+    starts, query_terms, weights, n_terms = queries
+    for docs, t, x, more in _document_blocks(batches):
+        ids, row, first = _numbered(docs)
+        order = np.argsort(t, kind="stable")
+        row, x = row[order], x[order]
+        ends = np.searchsorted(t[order], np.arange(n_terms + 1))
+        count = np.diff(ends)
+        full = {}
+        for i in np.flatnonzero(count * FULL_ROW >= len(ids)).tolist():
+            full[i] = np.zeros(len(ids))
+            full[i][row[ends[i] : ends[i + 1]]] = x[ends[i] : ends[i + 1]]
+
+        def scores() -> Iterator[tuple[int, np.ndarray]]:
+            s, add = np.zeros(len(ids)), np.zeros(len(ids))
+            here = count[query_terms] > 0
+            some = np.flatnonzero(np.add.reduceat(here, starts[:-1]) > 0) if len(query_terms) else []
+            for q in some:
+                s.fill(0.0)
+                for i in range(starts[q], starts[q + 1]):
+                    if here[i]:
+                        term = query_terms[i]
+                        if (line := full.get(term)) is not None:
+                            np.multiply(line, weights[i], out=add)
+                            np.add(s, add, out=s)
+                        else:
+                            lo, hi = ends[term], ends[term + 1]
+                            s[row[lo:hi]] += weights[i] * x[lo:hi]
+                yield q, s
+
+        yield ids, more[first], scores()
+
+
 def _numbered(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct values of a sorted array, the number of each element's, and where each begins."""
     fresh = np.r_[True, docs[1:] != docs[:-1]]
@@ -162,6 +234,11 @@ def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.groupBy("query_id", "doc").agg(F.round(F.sum(F.col("x") * F.col("w")), 9).alias("score"))
 
 
+def bm25_totals(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, hits, total): how many rows :func:`bm25` has for each query, and the sum of their scores."""
+    return product_totals(*_bm25_sides(docs, queries))
+
+
 def bm25_top(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k best rows of :func:`bm25` for every query, ties to the smaller doc."""
     return best_products(*_bm25_sides(docs, queries), k)

@@ -170,3 +170,18 @@ def test_report_and_ingest(spark, tmp_path):
     assert [x["id"] for x in out["new"].collect()] == [6] and {(x["source"], x["target"]) for x in out["edges"].collect()} == {(5, 6), (6, 5)}
     none = spark.createDataFrame([], "external_id string, doi string, title string, references array<string>")
     assert {x["n"] for x in I.ingest(papers, none, {"title": F.lit(True)}, lambda c: c)["counts"].collect()} == {0}
+
+
+def test_totals_equal_the_join(spark, monkeypatch):
+    """Hits and sums of every query without pairs of query and document, in small blocks and with full rows and short ones."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + ["for"] * 30
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=12))) for i in range(150)] + [(900, None)], "doc bigint, text string")
+    q = spark.createDataFrame([(f"q{i}", " ".join(rng.choices(words, k=4))) for i in range(30)] + [("none", "zzz"), ("blank", " ")], "query_id string, query string")
+    want = {x["query_id"]: (x["n"], round(x["t"], 6)) for x in R.bm25(docs, q).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("t")).collect()}
+    key = lambda: {x["query_id"]: (x["hits"], round(x["total"], 6)) for x in R.bm25_totals(docs, q).collect()}
+    assert key() == want and len(want) == 30
+    monkeypatch.setattr(R, "BLOCK_DOCS", 13)
+    assert key() == want
+    monkeypatch.setattr("quillspark.runtime.BROADCAST_BYTES", 10)
+    assert key() == want
