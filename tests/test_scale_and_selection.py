@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillspark import runtime
 from quillspark.functions import labels as L
 from quillspark.operators import corpus as C
+from quillspark.operators import evaluation as E
 from quillspark.operators import ingest as I
 from quillspark.operators import joins as J
 from quillspark.operators import labelsets as B
@@ -185,3 +186,18 @@ def test_totals_equal_the_join(spark, monkeypatch):
     assert key() == want
     monkeypatch.setattr("quillspark.runtime.BROADCAST_BYTES", 10)
     assert key() == want
+
+
+def test_many_topics_are_split(spark):
+    """More than 80 topics, among them many of equal penalty; ties go to the first in order."""
+    rows = [(f"t{i:03}", 5 if i % 3 else 4, 1, 1, int(i > 10)) for i in range(300)]
+    s = S.balanced_splits(spark.createDataFrame(rows, "query_id string, negatives int, b0 int, b1 int, b2 int"), 1, 5)
+    assert s["val"] == ["t011"] and s["test"] == ["t013"] and len(s["train"]) == 298
+
+
+def test_rank_correlation_of_constant_groups(spark):
+    rows = [("flat", 1.0, float(i)) for i in range(3)] + [("one", 1.0, 2.0)] + [("up", float(i), float(i * i)) for i in range(4)] + [("down", float(i), -float(i)) for i in range(4)]
+    df = spark.createDataFrame(rows, "g string, a double, b double")
+    assert {x["g"]: round(x["rho"], 9) for x in E.rank_correlation(df, "g", "a", "b").collect()} == {"flat": 0.0, "one": 0.0, "up": 1.0, "down": -1.0}
+    got = {(x["a"], x["b"]): x["r"] for x in E.correlations(df.where("g = 'flat'"), ["a", "b"]).collect()}
+    assert got == {("a", "b"): 0.0}
