@@ -138,11 +138,19 @@ def confusion(rows: DataFrame, score: str, gain: str, low: float = 0.33, high: f
     return rows.where(F.col(score).isNotNull() & F.col(gain).isNotNull()).groupBy(bucket(score).alias("predicted"), bucket(gain).alias("actual")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def _corr(a: Column, b: Column) -> Column:
+    """Correlation of the rows that have both; 0 where a side is constant. Spark's own divides by zero there, which is an error
+    under its ANSI rules."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.when(spread > 0, F.try_divide(F.covar_pop(x, y), spread)), F.lit(0.0))
+
+
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r, strong) of every pair of columns in one pass; a constant column gives 0."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    one = rows.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    value = lambda i: F.when(F.isnan(f"r{i}"), 0.0).otherwise(F.coalesce(f"r{i}", F.lit(0.0)))
+    one = rows.agg(*[_corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+    value = lambda i: F.col(f"r{i}")
     long = one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), value(i).alias("r")) for i, (a, b) in enumerate(pairs)])))
     return long.withColumn("strong", F.abs("r") >= 0.85)
 
@@ -153,8 +161,7 @@ def rank_correlation(rows: DataFrame, group: str, a: str, b: str) -> DataFrame:
     for c in (a, b):
         same = Window.partitionBy(group, c)
         out = out.withColumn(f"_{c}", F.rank().over(Window.partitionBy(group).orderBy(c)) + (F.count(F.lit(1)).over(same) - 1) / 2.0)
-    r = F.corr(f"_{a}", f"_{b}")
-    return out.groupBy(group).agg(F.when(F.isnan(r), 0.0).otherwise(F.coalesce(r, F.lit(0.0))).alias("rho"))
+    return out.groupBy(group).agg(_corr(F.col(f"_{a}"), F.col(f"_{b}")).alias("rho"))
 
 
 def summary(rows: DataFrame, group: str, column: str) -> DataFrame:
