@@ -14,6 +14,7 @@ from quillspark.operators import ingest as I
 from quillspark.operators import joins as J
 from quillspark.operators import labelsets as B
 from quillspark.operators import learning as M
+from quillspark.operators import readers as N
 from quillspark.operators import registry as G
 from quillspark.operators import retrieval as R
 from quillspark.operators import selection as S
@@ -201,3 +202,17 @@ def test_rank_correlation_of_constant_groups(spark):
     assert {x["g"]: round(x["rho"], 9) for x in E.rank_correlation(df, "g", "a", "b").collect()} == {"flat": 0.0, "one": 0.0, "up": 1.0, "down": -1.0}
     got = {(x["a"], x["b"]): x["r"] for x in E.correlations(df.where("g = 'flat'"), ["a", "b"]).collect()}
     assert got == {("a", "b"): 0.0}
+
+
+def test_personal_scores_of_both_paths(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"word{i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=6)), None) for i in range(120)] + [(500, None, None), (501, "lonely", "")], "doc bigint, title string, abstract string")
+    prof = spark.createDataFrame([(u, rng.sample(range(120), 5) + [501] * (u == 2), rng.sample(range(120), u % 3) + [500, 999]) for u in range(7)] + [(9, [], [])], "user bigint, saved array<bigint>, skipped array<bigint>")
+    key = lambda: sorted(tuple(round(v, 9) for v in x) for x in N.personal_scores(docs, prof).collect())
+    fast = key()
+    monkeypatch.setattr(N, "MEMBERS", 4)
+    assert key() == fast and len(fast) > 300
+    monkeypatch.setattr(N, "_by_blocks", None)  # only the index is left
+    monkeypatch.setattr("quillspark.runtime.BROADCAST_BYTES", 10)
+    assert key() == fast
