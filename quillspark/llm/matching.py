@@ -374,6 +374,7 @@ def _assign(group: pd.DataFrame) -> pd.DataFrame:
     for p, r, c in zip(group["paper_id"].tolist(), group["record_id"].tolist(), group["confidence"].tolist()):
         near.setdefault(r, {})[p] = max(c, near.get(r, {}).get(p, 0.0))
     owner: dict[int, int] = {}  # of each paper
+    mine: dict[int, int] = {}  # the paper of each record that has one
     u, v = {r: -max(m.values()) for r, m in near.items()}, {}
     for root in sorted(near):
         # least reduced cost of reaching each paper; to end at a record, which then stays alone, costs its potential
@@ -403,18 +404,17 @@ def _assign(group: pd.DataFrame) -> pd.DataFrame:
             u[r] += best_end - d
         for p in done:
             v[p] = v.get(p, 0.0) - max(0.0, best_end - far[p])
-        mine = {r: p for p, r in owner.items()}
         if end is None:  # the record at which the cheapest path ends gives its paper up
             if alone == root:
                 continue
-            p = mine[alone]
+            p = mine.pop(alone)
             del owner[p]
         else:
             p = end
         while True:  # turn the path round
             r = came[p]
             before = mine.get(r)
-            owner[p] = r
+            owner[p], mine[r] = r, p
             if r == root:
                 break
             p = before
@@ -422,34 +422,23 @@ def _assign(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["paper_id", "record_id", "confidence"])
 
 
-#: Pairs of a component that are assigned exactly in one task; larger components take mutual best pairs, round by round.
+#: Pairs from which a component is dealt to the tasks apart from the smaller ones; it is assigned in the same way.
 EXACT_PAIRS = 20_000
 
 
 def assign_one_to_one(pairs: DataFrame) -> DataFrame:
     """(paper_id, record_id, confidence): every paper and record at most once, total confidence maximal in each connected
-    component of up to EXACT_PAIRS pairs. In larger ones pairs that are each other's best are taken until none is left, which
-    gives at least half of the largest total. Equal confidences are ordered by a hash of the pair, so that a round takes
-    many of them; the best pair of all is always taken, so every round makes progress."""
+    component, whatever its size. A component is assigned in one task, whose memory grows with the component's pairs."""
     pairs = materialize(pairs, "match-pairs")
     linked = components(pairs.select((-F.col("paper_id") - 1).alias("a"), F.col("record_id").alias("b")), "a", "b")
     tied = materialize(pairs.withColumn("node", F.col("record_id")).join(linked, "node").select("component", "paper_id", "record_id", "confidence"), "match-components")
     sizes = tied.groupBy("component").count()
     sizes = materialize(sizes, "match-sizes")
     of = lambda rule: tied.join(sizes.where(rule).select("component"), "component", "left_semi")
-    lone = of(F.col("count") == 1).select("paper_id", "record_id", "confidence")  # a pair alone is its own assignment
+    out = of(F.col("count") == 1).select("paper_id", "record_id", "confidence")  # a pair alone is its own assignment
     # small rows but much work a component: a fixed number of partitions, which are not put together
     tasks = max(48, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = of(F.col("count").between(2, EXACT_PAIRS)).repartition(tasks, "component")
-    out = lone.unionByName(small.groupBy("component").applyInPandas(lambda g: _assign(g), "paper_id bigint, record_id bigint, confidence double"))
-    rest = materialize(tied.join(sizes.where(F.col("count") > EXACT_PAIRS).select("component"), "component", "left_semi").drop("component"), "match-large")
-    while not rest.isEmpty():
-        order = F.struct("confidence", F.xxhash64("paper_id", "record_id").alias("h"), (-F.col("paper_id")).alias("p"), (-F.col("record_id")).alias("r"))
-        best_p = rest.groupBy("paper_id").agg(F.max(order).alias("bp"))
-        best_r = rest.groupBy("record_id").agg(F.max(order).alias("br"))
-        taken = materialize(rest.join(best_p, "paper_id").join(best_r, "record_id").where((F.col("bp") == order) & (F.col("br") == order)).select("paper_id", "record_id", "confidence"), "match-taken")
-        if taken.isEmpty():
-            raise RuntimeError("assignment made no progress")
-        out = out.unionByName(taken)
-        rest = materialize(rest.join(taken.select("paper_id"), "paper_id", "left_anti").join(taken.select("record_id"), "record_id", "left_anti"), "match-large")
+    for rule in (F.col("count").between(2, EXACT_PAIRS), F.col("count") > EXACT_PAIRS):
+        some = of(rule).repartition(tasks, "component").groupBy("component")
+        out = out.unionByName(some.applyInPandas(lambda g: _assign(g), "paper_id bigint, record_id bigint, confidence double"))
     return out

@@ -87,3 +87,13 @@ def test_name_classes_agree_with_pairs(spark):
     linked = {x for r in variant_pairs(df, "authors").collect() for x in r}
     assert {n for n, r in rows.items() if r["spellings"] > 1} == linked and rows["Otto Keller"]["spellings"] == 1
     assert entity_classes(df.limit(0), "authors").count() == 0
+
+
+def test_large_components_are_assigned_exactly(spark, monkeypatch):
+    """A chain in which the best pair of its surroundings is wrong: the total must not depend on the component's size."""
+    chain = [(i // 2, 1000 + (i + 1) // 2, 0.9 if i % 3 == 1 else 0.8) for i in range(60)]
+    pairs = spark.createDataFrame(chain, "paper_id bigint, record_id bigint, confidence double")
+    total = lambda: round(sum(r["confidence"] for r in M.assign_one_to_one(pairs).collect()), 6)
+    whole = total()
+    monkeypatch.setattr(M, "EXACT_PAIRS", 10)
+    assert total() == whole == round(M._assign(pd.DataFrame(chain, columns=["paper_id", "record_id", "confidence"]))["confidence"].sum(), 6)
