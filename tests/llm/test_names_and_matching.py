@@ -160,3 +160,16 @@ def test_confidence_uses_years():
     s = Scorer(np.ones(1 << 17, np.int64), 10)
     a = (["dense", "retrieval", "gamurank"], frozenset({"mengoridge"}), 2020, None)
     assert s.confidence(a, a) > 0.9 and s.confidence(a, (a[0], a[1], 2015, None)) == 0.0
+
+
+def test_family_names_one_edit_apart_stay_apart(spark):
+    given = ["Hilda", "Lorenz", "Edgar", "Fabian", "Julius", "Carina", "Darius"]
+    people = [f"{g} {f}" for f in ("Brandholt", "Brondholt", "Brundholt") for g in given]
+    people += ["Walburga Brandholt", "W. Brandholt", "Wendel Brondholt", "W. Brondholt", "Wendel Brundholt"]
+    # faults of faults: the last spelling is three edits from the name that it means
+    people += ["Hilda Brondhollt"] * 3 + ["Hilda Brondholllt"] * 2 + ["Hilda Brondhollltt"]
+    df = spark.createDataFrame([(people,)], "authors array<string>")
+    got = {(r["name_a"], r["name_b"]) for r in variant_pairs(df, "authors").collect()}
+    faults = sorted(["Hilda Brondhollltt", "Hilda Brondholllt", "Hilda Brondhollt", "Hilda Brondholt"])
+    want = {("W. Brandholt", "Walburga Brandholt"), ("W. Brondholt", "Wendel Brondholt")} | {(a, b) for i, a in enumerate(faults) for b in faults[i + 1 :]}
+    assert got == want
