@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +14,9 @@ from quillspark.operators.near_titles import near_title_links
 from quillspark.operators.ranking import numbered
 from quillspark.runtime import materialize
 
+#: Linked records that a task folds together, besides those of its largest block.
+FOLDED = 20_000
+
 # --- identity ----------------------------------------------------------------------------------------------------------
 
 
@@ -76,35 +80,44 @@ def fold_duplicates(records: DataFrame, row: str, least: float = 0.92) -> DataFr
     each joins the record that owns its first known key (external id, DOI, title), else the earliest kept record whose title
     is near its own, and the keys of a merged record are then owned by the record that it joined. A kept record keeps its
     own title. Records with no key in common and no near title cannot meet, so the fold runs per block of rows that keys and
-    near titles connect; a block holds the copies of one work."""
+    near titles connect; a block holds the copies of one work. A task folds many blocks."""
     keyed = materialize(records.select(F.col(row).alias("row"), normal_title(F.col("title")).alias("t"), F.posexplode(identity_keys(F.col("external_id"), F.col("doi"), F.col("title"))).alias("strength", "key")), "record-keys")
     links = near_title_links(keyed.where("t is not null").select("t"), least)
     tie = F.concat(F.lit("near:"), "a", F.lit("|"), "b")  # a key of both titles, which connects but is not owned
     met = links.select(F.inline(F.array(*[F.struct(F.col(x).alias("t"), F.col(y).alias("other"), (F.col(s) >= least).alias("ok"), tie.alias("key")) for x, y, s in (("a", "b", "ab"), ("b", "a", "ba"))])))
     near = keyed.select("row", "t").distinct().join(met, "t").select("row", "t", F.lit(9).alias("strength"), "key", "other", "ok")
     keyed = materialize(keyed.select("row", "t", "strength", "key", F.lit(None).cast("string").alias("other"), F.lit(False).alias("ok")).unionByName(near), "record-links")
-    block = keyed.groupBy("row").agg(F.min("row").alias("block"))
+    # a record that shares no key is kept as it is, so only the others are put into blocks and folded
+    shared = keyed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).where("low < high").select("key")
+    linked = materialize(keyed.join(shared, "key", "left_semi"), "shared-keys")
+    block = linked.groupBy("row").agg(F.min("row").alias("block"))
     settled = False
     while not settled:  # blocks only ever fall, so this ends
-        low = keyed.join(block, "row").groupBy("key").agg(F.min("block").alias("low"))
-        after = materialize(keyed.join(low, "key").groupBy("row").agg(F.min("low").alias("block")), "record-blocks")
+        low = linked.join(block, "row").groupBy("key").agg(F.min("block").alias("low"))
+        after = materialize(linked.join(low, "key").groupBy("row").agg(F.min("low").alias("block")), "record-blocks")
         settled = after.join(block.withColumnRenamed("block", "was"), "row").where("block <> was").isEmpty()
         block = after
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
+        """Any number of whole blocks: keys and near titles of different blocks never meet."""
         owner, titled, out = {}, {}, []
-        for r, part in group.sort_values(["row", "strength"]).groupby("row", sort=True):
-            keys = list(part["key"][part["other"].isna()])
+        group = group.sort_values(["row", "strength"])
+        rows = zip(group["row"], group["t"], group["key"], group["other"], group["ok"], group["other"].isna())
+        for r, part in itertools.groupby(rows, key=lambda x: x[0]):
+            part = list(part)
+            keys = [key for _, _, key, _, _, owned in part if owned]
             kept = next((owner[k] for k in keys if k in owner), None)
             if kept is None:
-                kept = min((titled[o] for o in part["other"][part["ok"]] if o in titled), default=r)
+                kept = min((titled[other] for _, _, _, other, ok, _ in part if ok and other in titled), default=r)
             if kept == r:
-                titled[part["t"].iloc[0]] = r
+                titled[part[0][1]] = r
             owner.update(dict.fromkeys(keys, kept))
             out.append((r, kept))
         return pd.DataFrame(out, columns=["row", "kept"])
 
-    found = keyed.join(block, "row").groupBy("block").applyInPandas(fold, "row bigint, kept bigint")
+    buckets = max(12, -(-block.count() // FOLDED))
+    bucket = F.pmod(F.xxhash64("block"), F.lit(buckets)).alias("bucket")
+    found = linked.join(block, "row").select("row", "t", "strength", "key", "other", "ok", bucket).groupBy("bucket").applyInPandas(fold, "row bigint, kept bigint")
     return records.select(F.col(row).alias("row")).distinct().join(found, "row", "left").select(F.col("row").alias(row), F.coalesce("kept", "row").alias("kept"))
 
 

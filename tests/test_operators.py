@@ -132,6 +132,18 @@ def test_folding_depends_on_order(spark):
     assert got == {1: 1, 2: 2, 3: 1, 4: 1, 5: 5}
 
 
+def test_folding_of_many_blocks_together(spark, monkeypatch):
+    monkeypatch.setattr(C, "FOLDED", 4)
+    rows = [(i, f"x{i % 20}" if i % 3 else None, f"10.5/{i % 33}" if i % 5 == 0 else None, f"title {i % 40}" if i % 2 else None) for i in range(120)]
+    owner, want = {}, {}
+    for i, x, doi, title in rows:
+        keys = [k for k in (x and ("x", x), doi and ("d", doi), title and ("t", title)) if k]
+        want[i] = next((owner[k] for k in keys if k in owner), i)
+        owner.update(dict.fromkeys(keys, want[i]))
+    got = C.fold_duplicates(spark.createDataFrame(rows, "id bigint, external_id string, doi string, title string"), "id")
+    assert {r["id"]: r["kept"] for r in got.collect()} == want
+
+
 NEAR = ["decoding masked reader with quamacast", "p decoding masked reader with quamacast p", "online buffer and regularised verifier in wildoife acoustics", "online bu er and regularised veri er in wildlife acoustics"]
 
 
