@@ -1,5 +1,6 @@
 """Paths that only large or skewed tables take, forced here by small bounds, and the operators of selection and ingest."""
 
+import itertools
 import random
 import sqlite3
 
@@ -14,6 +15,7 @@ from quillspark.operators import ingest as I
 from quillspark.operators import joins as J
 from quillspark.operators import labelsets as B
 from quillspark.operators import learning as M
+from quillspark.operators import queries_selection as QS
 from quillspark.operators import readers as N
 from quillspark.operators import registry as G
 from quillspark.operators import retrieval as R
@@ -216,3 +218,50 @@ def test_personal_scores_of_both_paths(spark, monkeypatch):
     monkeypatch.setattr(N, "_by_blocks", None)  # only the index is left
     monkeypatch.setattr("quillspark.runtime.BROADCAST_BYTES", 10)
     assert key() == fast
+
+
+def _best_sides(rows, size, target):
+    """All choices of val and test, one after the other."""
+
+    def penalty(side):
+        n, buckets = sum(r[1] for r in side), [sum(r[i] for r in side) for i in (2, 3, 4)]
+        return n, abs(n - target) + 100_000.0 * ((min(buckets) == 0) + (n == 0))
+
+    found = []
+    for val in itertools.combinations(sorted(rows), size):
+        for test in itertools.combinations(sorted(set(rows) - set(val)), size):
+            (n, p), (m, q) = penalty(val), penalty(test)
+            found.append((p + q + 1.5 * abs(n - m), [r[0] for r in val], [r[0] for r in test]))
+    return min(found)[1:] if found else ([], [])
+
+
+def test_sides_of_several_topics(spark):
+    """Sides of one to three topics are the best of all choices, with many topics alike and with few."""
+    rng = random.Random(31)
+    for size, topics, most in ((1, 12, 3), (2, 14, 2), (2, 14, 12), (2, 3, 4), (3, 9, 3)):
+        rows = [(f"t{i:02}", rng.randint(0, most), rng.randint(0, 2), rng.randint(0, 1), rng.randint(0, 3)) for i in rng.sample(range(99), topics)]
+        t = spark.createDataFrame(rows, "query_id string, negatives int, b0 int, b1 int, b2 int")
+        assert S.balanced_sides(t, size, 5) == _best_sides(rows, size, 5)
+    many = spark.createDataFrame([(f"t{i:04}", 2 + i % 3, 1, int(i % 7 == 0), 1) for i in range(2000)], "query_id string, negatives int, b0 int, b1 int, b2 int")
+    assert S.balanced_sides(many, 2, 5) == (["t0000", "t0001"], ["t0003", "t0007"])
+
+
+def test_balanced_topics_has_two_topics_a_side(spark, tmp_path):
+    """The query and its SQL against all choices, on made tables with and without enough topics."""
+    duckdb = pytest.importorskip("duckdb")
+    rng = random.Random(32)
+    for topics in (15, 3):
+        d = tmp_path / str(topics)
+        queries, sources = [f"q{i:02}" for i in range(topics)], ["manual", "co_citation", "title"]
+        examples = [(rng.choice(queries), rng.randrange(40), rng.sample(range(40), rng.randint(1, 2)), rng.choice(sources)) for _ in range(3 * topics)]
+        tables = {"training_examples": (examples, "query_id string, positive_paper_id bigint, negative_paper_ids array<bigint>, label_source string"), "manual_queries": ([(q,) for q in queries], "query_id string"), "papers": ([(i, i, 2000 + i, "a") for i in range(40)], "id bigint, citation_count bigint, year bigint, abstract string")}
+        con = duckdb.connect()
+        for name, (rows, schema) in tables.items():
+            spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{d}/{name}.parquet")
+            con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{d}/{name}.parquet/*.parquet')")
+        got = sorted(tuple(x) for x in QS.balanced_topics(spark, str(d)).collect())
+        counts = QS.labelled(spark, str(d)).groupBy("query_id").agg(F.sum(F.col("negative").cast("int")), *[F.sum((F.col("bucket") == b).cast("int")) for b in (0, 1, 2)])
+        rows = [tuple(x) for x in counts.collect()]
+        val, test = _best_sides(rows, 2, 5)
+        assert len(val) == len(test) == (2 if topics > 3 else 0)
+        assert got == sorted(("val" if r[0] in val else "test" if r[0] in test else "train", r[0]) for r in rows) == sorted(con.execute(QS.SQL["balanced_topics"]).fetchall())
